@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -49,3 +50,28 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) ->
 
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else pa.large_binary()).to_pylist()
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """As ``durable``, for tables of many narrow rows: written as compressed Arrow blocks, a tenth of the bytes of plain rows."""
+    schema = df.schema
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                yield from pa.ipc.open_stream(block)
+
+    return durable(df.mapInArrow(packed, "block binary")).mapInArrow(unpacked, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more, rather than when memory next runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
