@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, packing, sharding, suffix_dedup
+from . import decontaminate, licenses, media, packing, sharding, simhash, suffix_dedup
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -34,5 +38,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op5_decontamination, op7_licenses, op8_packing, op9_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op4_simhash, op5_decontamination, op7_licenses, op8_packing, op9_media)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle_sql()}
