@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, utf8
@@ -170,10 +170,8 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: its words, those inside an occurrence of an item's window, and the items found."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _indexes(spark: SparkSession, benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> list[Callable[[], Index]]:
+    """What builds the index of each block on an executor; one of no items if the benchmark is empty."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     count = -(-size // block_bytes)
@@ -193,6 +191,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     for block in parts:
         known = spark.sparkContext.broadcast([(r.name, r.text.encode()) for r in block.collect()])
         built.append(lambda known=known: Index(known.value, window, gram))
+    return built
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each document: its words, those inside an occurrence of an item's window, and the items found."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    built = _indexes(docs.sparkSession, benchmark, window, gram, block_bytes)
     if len(built) == 1:
         return docs.mapInArrow(_rows(built[0], True), SCHEMA)
     found = None
@@ -205,3 +210,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     keyed = docs.withColumn("body", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     joined = keyed.alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.body") == F.col("m.body")), "left")
     return joined.select("d.doc_id", "d.text", "m.places", "m.names").mapInArrow(_finish, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, without a window of any item; each block of the benchmark filters what the last has left."""
+    spark, schema, at = docs.sparkSession, docs.schema, len(docs.columns)
+
+    def kept(index: Callable[[], Index]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = index()
+            for batch in slices(batches, at):
+                yield batch.select(list(range(at))).filter(pa.array([not found.hits(t)[1].any() for t in utf8(batch.column(at))], pa.bool_()))
+
+        return scan
+
+    for index in _indexes(spark, benchmark, window, gram, block_bytes):
+        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(kept(index), schema)
+    return docs

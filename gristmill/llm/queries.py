@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, packing, sharding, simhash, suffix_dedup
+from . import decontaminate, licenses, media, packing, sharding, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -18,6 +18,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
@@ -38,5 +43,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op4_simhash, op5_decontamination, op7_licenses, op8_packing, op9_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_toxicity, op4_simhash, op5_decontamination, op7_licenses, op8_packing, op9_media)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle_sql()}
