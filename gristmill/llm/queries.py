@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, packing, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, langid, licenses, media, packing, sharding, simhash, suffix_dedup, tokenout, toxicity
 from .common import documents
 
 
@@ -31,6 +31,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -43,5 +48,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_toxicity, op4_simhash, op5_decontamination, op7_licenses, op8_packing, op9_media)}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.sequences(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_toxicity, op4_simhash, op5_decontamination, op6_language, op7_licenses, op8_packing, op9_media, op10_tokens)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle_sql()}
