@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -73,5 +74,7 @@ def compact(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints that nothing refers to any more, rather than when memory next runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what Python lets go of is let go of by the JVM, then by the cleaner, each a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -37,6 +37,7 @@ from .common import compact, release, slices, text_column, utf8
 
 LENGTH, HOT, HELD, BLOCK = anchors.LENGTH, 20_000, 400_000, 20_000
 FIRST_ID = -(1 << 63)
+OTHER_NAME = 0x5DEECE66D5DEECE6
 RUNS = "m long, s long, d long, loc long, done boolean"
 REMOVED = "d long, tie long, start long, n long"
 
@@ -123,7 +124,7 @@ def _batch(arrays: Iterable[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
 def _runs(length: int, gram: int, counted: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of each text, or only how many distinct ones each anchor has here."""
     wide = pa.schema([("m", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("loc", pa.int64()), ("done", pa.bool_())])
-    narrow = pa.schema([("m", pa.int64()), ("c", pa.int64())])
+    narrow = pa.schema([("k", pa.int64()), ("c", pa.int64())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, ...]] = []
@@ -154,7 +155,7 @@ def _runs(length: int, gram: int, counted: bool) -> Callable[[Iterable[pa.Record
             held = 0
             first, later = _first_here(m, s, d, loc)
             if counted:
-                yield _batch(np.unique(m[first], return_counts=True), narrow)
+                yield _batch(np.unique(m[first] ^ OTHER_NAME, return_counts=True), narrow)
                 return
             yield _batch((m[first], s[first], d[first], loc[first], np.zeros(len(first), bool)), wide)
             if len(later):
@@ -317,22 +318,23 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = anchors.G
     text = text_column(F.col("text"))
     keyed = docs.select(doc_key(F.col("doc_id")).alias("d"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFFFF)).alias("tie"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
     plain = docs.select(doc_key(F.col("doc_id")).alias("d"), text.alias("text"))
-    counts = plain.mapInArrow(_runs(length, gram, True), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1")
+    # Counted under another name of the anchor: both sides of a join on it are then dealt out for the join alone, and Spark may split what is hot.
+    anchor = (F.col("k").bitwiseXOR(F.lit(OTHER_NAME))).alias("m")
+    counts = plain.mapInArrow(_runs(length, gram, True), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 1").select(anchor, F.lit(True).alias("met"))
     runs = plain.mapInArrow(_runs(length, gram, False), RUNS)
-    # Joined by a hash of the key: both sides are then dealt out for the join alone, and Spark may split what is hot.
-    shared = runs.withColumn("h", F.xxhash64("m")).join(counts.select(F.xxhash64("m").alias("h"), F.col("m").alias("cm")), "h", "left").where("done or cm = m").select("m", "s", "d", "loc", "done")
+    shared = runs.join(counts, "m", "left").where("done or met").select("m", "s", "d", "loc", "done")
     shared = compact(shared)
     release(docs.sparkSession)
 
     settled = shared.where("done").selectExpr("d", "shiftright(loc, 38) as tie", "shiftright(s, 31) as start", f"s & {(1 << 31) - 1}L as n")
     open_ = shared.where("not done")
     firsts = compact(open_.groupBy("m", "s").agg(F.min(F.struct("d", "loc")).alias("f")).select("m", "s", F.col("f.d").alias("d"), F.col("f.loc").alias("loc")))
-    named = firsts.select(F.xxhash64("m", "s").alias("h"), F.col("m").alias("fm"), F.col("s").alias("fs"), F.col("d").alias("fd"), F.col("loc").alias("floc"))
-    later = open_.withColumn("h", F.xxhash64("m", "s")).join(named, "h").where("m = fm and s = fs and (d <> fd or loc <> floc)")
+    named = firsts.select("m", "s", F.col("d").alias("fd"), F.col("loc").alias("floc"))
+    later = open_.join(named, ["m", "s"]).where("d <> fd or loc <> floc")
     place = ("shiftright(loc, 38) as tie", f"shiftright(loc, 7) & {(1 << 31) - 1}L as {{}}", "loc & 127 as n")
     later = later.selectExpr("d", place[0], place[1].format("start"), place[2])
-    several = firsts.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("m").alias("h"), F.col("m").alias("cm"), (F.col("c") > hot).alias("hot"))
-    wanted = firsts.withColumn("h", F.xxhash64("m")).join(several, "h").where("m = cm").selectExpr("d", place[0], place[1].format("at"), place[2], "m", "hot")
+    several = firsts.select(F.col("m").bitwiseXOR(F.lit(OTHER_NAME)).alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(anchor, (F.col("c") > hot).alias("hot"))
+    wanted = firsts.join(several, "m").selectExpr("d", place[0], place[1].format("at"), place[2], "m", "hot")
     wanted = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("m", "at", "n", "hot")).alias("runs"))
     content = keyed.join(wanted, ["d", "tie"]).select("d", "tie", "text", "runs", "row").mapInArrow(_content(length), "g long, d long, loc long, bytes binary")
     # What a task has settled itself has no bytes; it is dealt out anyhow.
