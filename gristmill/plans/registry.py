@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus, lexical
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lexical.QUERIES | corpus.QUERIES
+ORACLE_SQL: dict[str, str] = lexical.ORACLE_SQL | corpus.ORACLE_SQL
