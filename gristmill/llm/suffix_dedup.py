@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import anchors
 from .common import compact, release, slices, text_column, utf8
 
-LENGTH, HOT, HELD, BLOCK = anchors.LENGTH, 20_000, 400_000, 20_000
+LENGTH, HOT, HELD, BLOCK = anchors.LENGTH, 1000, 400_000, 20_000
 FIRST_ID = -(1 << 63)
 OTHER_NAME = 0x5DEECE66D5DEECE6
 RUNS = "m long, s long, d long, loc long, done boolean"
@@ -197,6 +197,7 @@ def _content(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                     if not run["hot"]:
                         out.append((run["m"], d, tie << 38 | at << 7 | n, text[at : at + n + length - 1]))
                         continue
+                    later: list[int] = []  # windows of this run that have been met, as [first, count, ...]
                     for p in range(at, at + n):
                         window, loc = text[p : p + length], (d, tie << 38 | p << 7 | 1)
                         if (kept := hot.get(window)) is None or loc < kept:
@@ -204,7 +205,11 @@ def _content(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                                 out.append((0, *kept, b""))
                             hot[window] = loc
                         elif loc != kept:
-                            out.append((0, *loc, b""))
+                            if later and later[-2] + later[-1] == p:
+                                later[-1] += 1
+                            else:
+                                later += [p, 1]
+                    out += [(0, d, tie << 38 | p << 7 | c, b"") for p, c in zip(later[::2], later[1::2], strict=True)]
             out += [(_key(w), *loc, w) for w, loc in hot.items()]
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -261,7 +266,7 @@ def _compared(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
             done = batch.filter(empty)
             if done.num_rows:
                 loc = done.column(2).to_numpy()
-                yield _batch(joined(done.column(1).to_numpy(), loc >> 38, loc >> 7 & (1 << 31) - 1, np.ones(len(loc), np.int64)), schema)
+                yield _batch(joined(done.column(1).to_numpy(), loc >> 38, loc >> 7 & (1 << 31) - 1, loc & 127), schema)
                 batch = batch.filter(pc.invert(empty))
             if not batch.num_rows:
                 continue
