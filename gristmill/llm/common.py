@@ -34,6 +34,14 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_column(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 

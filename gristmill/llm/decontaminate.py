@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import fresh, slices, utf8
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -225,5 +225,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
         return scan
 
     for index in _indexes(spark, benchmark, window, gram, block_bytes):
-        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(kept(index), schema)
+        docs = docs.withColumn(fresh(docs.columns, "_text"), F.col("text").cast("string")).mapInArrow(kept(index), schema)
     return docs

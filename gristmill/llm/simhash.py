@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import durable, slices, utf8
+from .common import durable, fresh, slices, utf8
 
 SHINGLE, RADIUS, SEGMENTS, SMALL, MOST = 4, 4, 3, 48, 100_000
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -244,8 +244,9 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segment
 
     Rows of equal doc_id and text are one document and stay or go together.
     """
-    keys = lambda d, x: (F.coalesce(d.cast("long"), F.lit((1 << 63) - 1)).alias("_kept_d"), x.alias("_kept_x"))
+    names = [fresh(docs.columns, "_kept_d"), fresh(docs.columns, "_kept_x")]
+    keys = lambda d, x: (F.coalesce(d.cast("long"), F.lit((1 << 63) - 1)).alias(names[0]), x.alias(names[1]))
     rows = _classified(docs, shingle, radius, segments, most)
-    kept = rows.groupBy("root").agg(F.min(F.struct(*keys(F.col("doc_id"), F.col("x")))).alias("kept")).select("kept._kept_d", "kept._kept_x")
+    kept = rows.groupBy("root").agg(F.min(F.struct(*keys(F.col("doc_id"), F.col("x")))).alias("kept")).select("kept.*")
     d, x = keys(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
-    return docs.withColumns({"_kept_d": d, "_kept_x": x}).join(kept, ["_kept_d", "_kept_x"], "left_semi").drop("_kept_d", "_kept_x")
+    return docs.withColumns(dict(zip(names, (d, x), strict=True))).join(kept, names, "left_semi").drop(*names)

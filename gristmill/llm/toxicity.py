@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import fresh, remainder, slices
 
 SAMPLE, FEATURES, LEAST_GAIN, THRESHOLD, FOLDS = 10_000, 4000, 8.0, 0.3, 4
 #: Terms of one kind in one language; the first ones are neutral. Each is swapped for the others of its line.
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, rejected:
     known = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     if rejected is not None:
         judge = _judge(known)
-        flagged = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+        flagged = docs.withColumn(fresh(docs.columns, "_text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
         schema = docs.schema
 
         def filtered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

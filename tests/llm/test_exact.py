@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, feistel, packing, sharding, simhash, suffix_dedup, tokens
+from gristmill.llm import decontaminate, feistel, packing, sharding, simhash, suffix_dedup, tokens, toxicity
 
 from .helpers import DOCS, odd_rows
 
@@ -233,3 +233,15 @@ def test_token_ids_are_those_of_tokenizers():
     texts += pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()
     fast = tokens.encoder()
     assert [fast(t) for t in texts] == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names that stages use inside are free for callers, in any case."""
+    names = ["doc_id", "text", "_TEXT", "_text_", "_kept_d", "_Kept_x", "d", "tie", "row", "spans", "fp", "k", "n_bytes"]
+    rows = [(i, f"one two three four five six seven {i} " * 8, *range(len(names) - 2)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names[2:]))
+    items = spark.createDataFrame([(1, "nothing of the kind is said in any of these few texts")], "item_id long, text string")
+    for kept in (decontaminate.clean(docs, items), simhash.dedup(docs), toxicity.score(docs, toxicity.Model(-3.0, {}), rejected=False)):
+        assert kept.columns == names
+        assert {tuple(r) for r in kept.collect()} <= set(rows) and not kept.isEmpty()
+    assert suffix_dedup.dedup(docs).where("_TEXT = 0 and _kept_d = 2 and tie = 5").count() == 4
