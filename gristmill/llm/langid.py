@@ -31,6 +31,11 @@ WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters; digits of other kinds (fractions, exponents) count inside a run, but make none."""
+    return [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def features(word: str) -> list[int]:
     """Buckets of the word, its first and last 1 to 5 bytes, and its 2-grams and 3-grams of bytes with ends marked."""
     crc, whole = zlib.crc32, word.encode()
@@ -146,7 +151,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [WORD.findall((t or "").lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
         out = []
@@ -176,7 +181,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCHS,
     # Runs of 8 to 64 words of each text in turn: a chain holds several languages.
     parts: list[tuple[list[str], int]] = []
     for text, lang in zip(texts, langs, strict=True):
-        words, at = WORD.findall(text.lower()), 0
+        words, at = words_of(text), 0
         while at < len(words):
             n = int(random.integers(8, 65))
             parts.append((words[at : at + n], code[lang]))

@@ -229,3 +229,8 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{table}.parquet").where("false").write.parquet(str(tmp_path / f"{table}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_needs_a_letter():
+    model = langid.fit(["alpha beta gamma delta " * 9, "uno dos tres cuatro " * 9], ["en", "es"])
+    assert [p[0] for p in model.predict([None, "", "½ ² 12_3", "Ⅷ ½", "uno"])] == ["und", "und", "und", "und", "es"]
