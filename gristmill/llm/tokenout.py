@@ -63,8 +63,8 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, k
 
 
 def _ranged(rows: DataFrame) -> DataFrame:
-    """Shards dealt out whole, in slot order inside a task."""
-    return rows.repartition("shard").sortWithinPartitions("shard", "slot")
+    """Ranges of whole shards, in slot order inside a task."""
+    return rows.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, path: str | None = None) -> DataFrame:
