@@ -243,13 +243,14 @@ def held_out(doc_id: str, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE, characters: int = 4000) -> Model:
     """A model from at most ``sample`` documents a language; of a longer one, ``characters`` from a place that its hash names."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
+    # What is broadcast here, a count and ``sample`` hashes a language, is a hundredth of the model, which has BUCKETS weights a language and is broadcast too.
     # A cut by hash leaves about twice the sample of each language, so no language's rows meet in one task; the smallest of these are taken.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(1 << 63))
-    near = rows.select("lang", "h").join(counts, "lang").where(place < F.lit(2.0 * sample) / F.col("n")).select("lang", "h").distinct()
+    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").where(place < F.lit(2.0 * sample) / F.col("n")).select("lang", "h").distinct()
     few = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))).where(F.col("k") <= sample).select("lang", "h")
     span = F.greatest(F.lit(1), F.length("text") - characters + 1)
-    chosen = rows.join(few, ["lang", "h"]).select("lang", "h", F.substring("text", F.pmod(F.xxhash64("h"), span).cast("int") + 1, F.lit(characters)).alias("text"))
+    chosen = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", F.substring("text", F.pmod(F.xxhash64("h"), span).cast("int") + 1, F.lit(characters)).alias("text"))
     found = chosen.dropDuplicates(["lang", "h"]).sort("lang", "h").collect()
     return fit([r.text for r in found], [r.lang for r in found])
 
