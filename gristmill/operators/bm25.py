@@ -46,9 +46,17 @@ def tokenised(passages: DataFrame, doc: str = "doc", text: str = "text", title:
     return passages.select(F.col(doc).alias("doc"), tokens(whole).alias("tokens"))
 
 
+def with_terms(tokenised_docs: DataFrame) -> DataFrame:
+    """(doc, len, term), a row for each occurrence.
+
+    An inner explode lets the optimizer filter on the array's size below it, which cuts every text into terms twice; an outer one doesn't.
+    """
+    return tokenised_docs.select("doc", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def frequencies(tokenised_docs: DataFrame) -> DataFrame:
     """(doc, len, term, n): uncapped counts."""
-    each = tokenised_docs.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    each = with_terms(tokenised_docs)
     return each.groupBy("doc", "len", "term").agg(F.count("*").alias("n"))
 
 
@@ -119,7 +127,7 @@ def search_once(passages: DataFrame, queries: DataFrame, k: int = 10, doc: str =
     """As ``search``, straight from texts."""
     read = tokenised(passages, doc, text, title)
     asked = query_terms(queries, query, query_text)
-    every = read.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    every = with_terms(read)
     counts = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("n"))
     size = corpus(read).select(F.col("documents"), F.greatest(F.coalesce("average", F.lit(0.0)), F.lit(1e-300)).alias("average"))
     row = size.head()

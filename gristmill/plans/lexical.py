@@ -52,7 +52,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _documents(spark, sf_dir).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    read = _documents(spark, sf_dir).select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null")
     return read.groupBy("term").agg(F.count("*").alias("df"))
 
 
