@@ -1,0 +1,208 @@
+"""Near-copies by exact similarity: texts whose sets of five-word shingles have a Jaccard index of SIMILAR or more.
+
+Candidates come from prefixes. All shingles have one order; a set of n that is similar to another shares a shingle with it among the first
+n - ceil(SIMILAR n) + 1 of each, so no pair is missed. Shingles of few documents come first, by counts in SLOTS hashed slots: what the slots count decides
+only how many candidates there are, not what is found. Candidates whose sizes or places rule the similarity out are left, all others are verified on
+the texts. A shingle in the prefix of more than SMALL texts links them to one of them first; pairs that this hasn't joined are then all looked at.
+
+Words are runs without blanks, A-Z lower-cased; a text of five words or fewer is one shingle. Texts without words are nobody's copies, equal texts are
+copies of each other. NULL doc_ids come last in a group, then the hash of the text decides; rows of equal doc_id and text stay or go together.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import graph
+from .common import durable, fresh, slices, utf8
+from .simhash import TABLE
+
+#: SIMILAR as a fraction, so that sizes are compared in whole numbers.
+SHINGLE, SIMILAR, SLOTS, SMALL, BLOCK = 5, (4, 5), 1 << 20, 32, 50_000
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(TABLE).split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    width = min(shingle, len(words))
+    starts = np.concatenate([[0], ends[:-width]]).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def _counted(slots: int, summed: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's counts of shingles by slot, as one row: of texts, or of such rows."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.uint32)
+        for batch in batches if summed else slices(batches, 0):
+            for value in batch.column(0).to_pylist() if summed else utf8(batch.column(0)):
+                if summed:
+                    counts += np.frombuffer(pa.decompress(value, slots * 4, "zstd", asbytes=True), np.uint32)
+                else:
+                    np.add.at(counts, (shingles(value) & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())], ["counts"])
+
+    return scan
+
+
+def _prefixes(counts, slots: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, x, n, p): the p-th shingle of a text of n, for its prefix; shingles of one text only are left out."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = counts.value
+        for batch in slices(batches, 0):
+            out: list[tuple[np.ndarray, ...]] = []
+            for text, x in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                h = shingles(text)
+                met = rare[(h & np.uint64(slots - 1)).astype(np.int64)]
+                n = len(h)
+                order = np.lexsort((h, met))[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]
+                p = np.flatnonzero(met[order] > 1)
+                out.append((h[order[p]].view(np.int64), np.full(len(p), x, np.int64), np.full(len(p), n, np.int64), p))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["h", "x", "n", "p"])
+
+    return scan
+
+
+def possible(n: np.ndarray, p: np.ndarray, m: int, q: int) -> np.ndarray:
+    """Whether texts of n and m shingles that first meet at places p and q can be similar."""
+    need = -(-SIMILAR[0] * (n + m) // (SIMILAR[0] + SIMILAR[1]))
+    return np.minimum(n - p, m - q) >= need
+
+
+def _met(small: int, labelled: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates (a, b, then NULLs) among texts that come sorted by shingle; a text of a shingle with more than ``small`` as (x, NULL, h, n, p).
+    Labelled ones are paired whatever their number, with those of other labels."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "h", "n", "p")])
+
+    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, x, n, p, *label = columns
+        links, crowd = [np.empty((0, 2), np.int64)], []
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+            if high - low < 2:
+                continue
+            own, first = np.unique(x[low:high], return_index=True)
+            size, place = n[low:high][first], p[low:high][first]
+            if labelled:
+                name = label[0][low:high][first]
+                if (name == name[0]).all():
+                    continue
+            many = not labelled and len(own) > small
+            if many:
+                crowd.append(np.arange(low, high)[first])
+            for i in range(1 if many else len(own) - 1):
+                ok = possible(size[i + 1 :], place[i + 1 :], int(size[i]), int(place[i]))
+                if labelled:
+                    ok &= name[i + 1 :] != name[i]
+                if ok.any():
+                    other = own[i + 1 :][ok]
+                    links.append(np.stack([np.full(len(other), own[i]), other], axis=1))
+            if sum(map(len, links[-64:])) > 1 << 20:
+                yield batch_of(np.concatenate(links), crowd, x, h, n, p)
+                links, crowd = links[:1], []
+        yield batch_of(np.concatenate(links), crowd, x, h, n, p)
+
+    def batch_of(links: np.ndarray, crowd: list[np.ndarray], x: np.ndarray, h: np.ndarray, n: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        links = np.unique(links, axis=0)
+        at = np.concatenate(crowd) if crowd else np.empty(0, np.int64)
+        nulls = pa.nulls(len(links), pa.int64())
+        mine = lambda c: pa.concat_arrays([nulls, pa.array(c[at], pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([links[:, 0], x[at]]), pa.int64()), pa.concat_arrays([pa.array(links[:, 1], pa.int64()), pa.nulls(len(at), pa.int64())]), mine(h), mine(n), mine(p)], schema=schema)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            held += batch.num_rows
+            if held >= BLOCK:
+                columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on
+                if cut:
+                    yield from settle([c[:cut] for c in columns])
+                waiting = [[c[cut:] for c in columns]]
+                held = len(columns[0]) - cut if cut else 0
+        if waiting:
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            if len(columns[0]):
+                yield from settle(columns)
+
+    return scan
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[int, np.ndarray] = {}
+
+    def of(x: int, text: bytes) -> np.ndarray:
+        if x not in known:
+            if len(known) >= 64:
+                known.clear()
+            known[x] = shingles(text)
+        return known[x]
+
+    for batch in slices(batches, 2):
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ok = [similar(of(x, s), of(y, t)) for x, y, s, t in zip(a, b, utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose texts are similar."""
+    pairs = durable(pairs.select("a", "b").distinct())
+    needed = pairs.select(F.col("a").alias("x")).unionAll(pairs.select(F.col("b").alias("x"))).distinct()
+    held = durable(texts.join(needed, "x", "left_semi").groupBy("x").agg(F.first("text").alias("text")))
+    joined = pairs.join(held.select(F.col("x").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("x").alias("b"), F.col("text").alias("t")), "b")
+    return durable(joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"))
+
+
+def links(texts: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame:
+    """Links (a, b) of texts (x, a hash of the text, and text) whose components are those of all similar pairs."""
+    text = texts.select("text", "x")
+    rows = text.mapInArrow(_counted(slots, False), "counts binary").repartition(8).mapInArrow(_counted(slots, True), "counts binary").collect()
+    counts = np.zeros(slots, np.uint32)
+    for r in rows:
+        counts += np.frombuffer(pa.decompress(bytes(r.counts), slots * 4, "zstd", asbytes=True), np.uint32)
+    entries = text.mapInArrow(_prefixes(texts.sparkSession.sparkContext.broadcast(counts), slots), "h long, x long, n long, p long")
+    columns = "a long, b long, h long, n long, p long"
+    met = durable(entries.repartition("h").sortWithinPartitions("h").mapInArrow(_met(small, False), columns))
+    found = _links(met.where("b is not null"), texts)
+    crowd = met.where("b is null").select("h", F.col("a").alias("x"), "n", "p")
+    if crowd.isEmpty():
+        return found
+    label = graph.components(found).select(F.col("node").alias("x"), "component")
+    crowd = crowd.join(label, "x", "left").select("h", "x", "n", "p", F.coalesce("component", "x").alias("label"))
+    more = crowd.repartition("h").sortWithinPartitions("h").mapInArrow(_met(small, True), columns)
+    return found.unionAll(_links(more, texts))
+
+
+def dedup(docs: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-copies, with all its columns; texts without words stay."""
+    names = [fresh(docs.columns, "_kept_d"), fresh(docs.columns, "_kept_x")]
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    found = graph.components(links(docs.where(worded).select(F.xxhash64(text).alias("x"), text.alias("text")), small, slots))
+    keys = docs.where(worded).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(names[0]), F.xxhash64(text).alias(names[1]))
+    least = keys.groupBy(F.col(names[1]).alias("x")).agg(F.min(names[0]).alias("d"))
+    rooted = least.join(found.withColumnRenamed("node", "x"), "x", "left").select("d", "x", F.coalesce("component", "x").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "x")).alias("kept")).select(F.col("kept.d").alias(names[0]), F.col("kept.x").alias(names[1]))
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[1]: F.xxhash64(text)})
+    # The join puts its keys first, so they go before the rows are put together.
+    return keyed.where(worded).join(kept, names, "left_semi").drop(*names).unionAll(docs.where(~worded))
