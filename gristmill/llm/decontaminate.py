@@ -201,11 +201,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if len(built) == 1:
         return docs.mapInArrow(_rows(built[0], True), SCHEMA)
     found = None
-    for index in built:
-        part = docs.mapInArrow(_rows(index, False), "doc_id long, body binary, places array<long>, names array<string>")
+    for k, index in enumerate(built):
+        part = docs.mapInArrow(_rows(index, False), "doc_id long, body binary, places array<long>, names array<string>").withColumn("block", F.lit(k))
         found = part if found is None else found.unionAll(part)
-    once = Window.partitionBy("doc_id", "body", "names").orderBy("places")
-    found = found.withColumn("nth", F.row_number().over(once)).where("nth = 1")  # rows of equal doc_id and text report the same
+    once = Window.partitionBy("doc_id", "body", "block").orderBy("places")
+    found = found.withColumn("nth", F.row_number().over(once)).where("nth = 1")  # rows of equal doc_id and text report the same of a block
     merged = found.groupBy("doc_id", "body").agg(F.collect_list("places").alias("places"), F.collect_list("names").alias("names"))
     keyed = docs.withColumn("body", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     joined = keyed.alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.body") == F.col("m.body")), "left")

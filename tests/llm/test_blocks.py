@@ -1,0 +1,18 @@
+"""A benchmark of several blocks against one of a single block."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+from gristmill.llm import decontaminate
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_equal_names_in_several_blocks(spark, name):
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(12)]
+    items = spark.createDataFrame([(name, t) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " and ".join(texts)), (1, " and ".join(texts)), (None, texts[3]), (2, None)], "doc_id long, text string")
+    one, several = (Counter(map(tuple, decontaminate.contamination(docs, items, block_bytes=b).collect())) for b in (1 << 20, 100))
+    assert one == several and {r[3] for r in one} == {12, 1, 0}
