@@ -9,20 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 
-LENGTH, GRAM, MOST_RUN, SEGMENT = 100, 40, 64, 1 << 19
+LENGTH, GRAM, MOST_RUN, SEGMENT, SEED = 100, 40, 64, 1 << 19, 20240229
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_kept: dict[str, np.ndarray] = {}
+_kept: dict[str | int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "up" not in _kept or len(_kept["up"]) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
             _kept[name] = np.cumprod(p, dtype=np.uint64)
-        _kept["bytes"] = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return _kept["up"], _kept["down"], _kept["bytes"]
+    if seed not in _kept:
+        _kept[seed] = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _kept["up"], _kept["down"], _kept[seed]
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -34,12 +35,12 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of the texts that end at ``ends`` in ``data``: anchor, hash of the run's bytes, first window, number of windows."""
     n = len(data)
     if n < length:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    up, down, table = _powers(max(n + 1, SEGMENT + length))
+    up, down, table = _powers(max(n + 1, SEGMENT + length), seed)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * up[:n], dtype=np.uint64, out=sums[1:])
     grams = scramble((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])

@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lets Spark delete the shuffle files of a statement when it ends; read for each statement.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir``, its lineage cut; a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    A folder of our own is set only where the session names none (tests, a notebook).
+    Where the setting is missing, the context's checkpoint folder is taken; on a single machine (tests, a notebook) one is made.
+    On a cluster its absence is an error: a folder of one machine is lost with it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
-    return df.checkpoint(eager=True)
+            known = context._jsc.sc().getCheckpointDir()
+        top = known.get()
+    path = f"{top.rstrip('/')}/gristmill-{uuid.uuid4().hex}"
+    _filesystem(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage is cut, a lost executor costs nothing, its shuffle files go at once.
+
+    ``discard`` deletes the table when nothing reads it any more; else it goes with the driver.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._durable_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``durable`` has written for these tables."""
+    for table in tables:
+        path = table.__dict__.pop("_durable_path", None)
+        if path:
+            _filesystem(table.sparkSession, path).delete(table.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def remainder(column: str, divisor: int) -> Column:
@@ -46,6 +86,11 @@ def text_column(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits of a text; equal hashes are taken for equal texts."""
+    return F.unhex(F.md5(text_column(text).cast("binary")))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of the text column, or one row: bounds a worker's memory."""
     for batch in batches:
@@ -59,30 +104,3 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) ->
 
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else pa.large_binary()).to_pylist()
-
-
-def compact(df: DataFrame) -> DataFrame:
-    """As ``durable``, for tables of many narrow rows: written as compressed Arrow blocks, a tenth of the bytes of plain rows."""
-    schema = df.schema
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
-
-    def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                yield from pa.ipc.open_stream(block)
-
-    return durable(df.mapInArrow(packed, "block binary")).mapInArrow(unpacked, schema)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more, rather than when memory next runs short."""
-    for _ in range(3):  # what Python lets go of is let go of by the JVM, then by the cleaner, each a moment later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release
+from .common import discard, durable
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -24,18 +24,19 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b BIGINT, no NULLs): component is the smallest node it reaches.
 
-    Links that join a node to itself say nothing and are dropped. Each round is written to the shared folder; rounds grow with the logarithm of the
-    longest chain. No links give an empty table.
+    Links that join a node to itself say nothing and are dropped. Each round is written to the shared folder and replaces the one before; rounds grow with the
+    logarithm of the longest chain. No links give an empty table.
     """
     links = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        links = durable(_stars(_stars(links, True).distinct(), False).distinct())
+        next_links = durable(_stars(_stars(links, True).distinct(), False).distinct())
+        discard(links)
+        links = next_links
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).head())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"the components need more than {rounds} rounds")
-    release(links.sparkSession)
     return links.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -47,35 +47,54 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty).count() == 0
 
 
-def brute_removed(rows, length):
-    """(key) to (bytes, removed mask); rows of equal doc_id and text are one document."""
-    key = lambda d, b: (-(1 << 63) if d is None else d, zlib.crc32(b) & 0xFFFFFF)
+def brute_removed(spark, rows, length):
+    """(doc_id, text) to (bytes, removed mask); rows of equal doc_id and text are one document, those of equal doc_id go by hashes of the text."""
+    key = F.coalesce("d", F.lit(-(1 << 63))), F.xxhash64("t"), F.xxhash64(F.lit(1), "t")
+    distinct = spark.createDataFrame([(d, t or "") for d, t, *_ in rows], "d long, t string").distinct().orderBy(*key).collect()
     seen, out = set(), {}
-    for (d, tie), b in sorted({(key(d, (t or "").encode()), (t or "").encode()) for d, t, *_ in rows}):
+    for d, t in distinct:
+        b = t.encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
             w = b[k : k + length]
             gone[k : k + length] |= w in seen
             seen.add(w)
-        out[d, tie] = (b, gone)
+        out[d, t] = (b, gone)
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(100, 40, 1000), (100, 40, 1), (32, 12, 2)])
-def test_suffix_dedup(docs, length, gram, hot):
-    want = brute_removed(odd_rows(), length)
-    got = suffix_dedup.dedup(docs, length, gram, hot).collect()
-    assert len(got) == len(odd_rows()) and sum(r.n_removed for r in got) > 3000
-    texts = {r[5]: r[1] or "" for r in odd_rows()}
+def held_to_brute_force(spark, rows, got, length):
+    want, texts = brute_removed(spark, rows, length), {r[5]: r[1] or "" for r in rows}
+    assert len(got) == len(rows)
     for r in got:
-        whole = texts[r.tie].encode()
-        b, gone = want[-(1 << 63) if r.doc_id is None else r.doc_id, zlib.crc32(whole) & 0xFFFFFF]
+        b, gone = want[r.doc_id, texts[r.tie]]
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         edges = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest())
         if not gone.any():
             assert r.text == texts[r.tie]
-        assert "�" not in r.text
+        assert "\ufffd" not in r.text
+
+
+@pytest.mark.parametrize(("length", "gram", "hot"), [(100, 40, 1000), (100, 40, 1), (32, 12, 2)])
+def test_suffix_dedup(docs, spark, length, gram, hot):
+    got = suffix_dedup.dedup(docs, length, gram, hot).collect()
+    held_to_brute_force(spark, odd_rows(), got, length)
+    assert sum(r.n_removed for r in got) > 3000
+
+
+def test_suffix_dedup_of_unlike_texts_under_one_id(spark):
+    """Two of the texts agree in the low 24 bits of their checksums; each doc_id has several texts, some repeated."""
+    met, pair = {}, None
+    for i in range(100_000):
+        t = hashlib.sha256(str(i).encode()).hexdigest() * 5
+        if (low := zlib.crc32(t.encode()) & 0xFFFFFF) in met:
+            pair = (met[low], t)
+            break
+        met[low] = t
+    texts = [pair[0][:300], *pair, *(hashlib.sha256(str(i).encode()).hexdigest() * 2 + pair[i % 2][:150] for i in range(20))]
+    rows = [(d, t, "", "", 0, n, 0, 0.0) for n, (d, t) in enumerate([(None, t) for t in texts] + [(7, t) for t in texts[::2]] + [(None, texts[1])])]
+    held_to_brute_force(spark, rows, suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect(), 100)
 
 
 def test_suffix_dedup_of_nothing(empty, spark):
@@ -195,14 +214,51 @@ def test_bin_completion_is_optimal_where_it_can_be_known():
     for n in (1, 5, 8):
         for _ in range(30):
             lengths = rng.integers(1, 21, n)
-            assert len(packing.complete(np.bincount(lengths, minlength=21), 20)) == brute_bins(sorted(lengths.tolist(), reverse=True), 20)
-    lengths = rng.integers(1, 1800, 3000)
-    bins = packing.complete(np.bincount(lengths, minlength=2049), 2048)
-    assert Counter(x for b in bins for x in b) == Counter(lengths.tolist()) and max(map(sum, bins)) <= 2048
-    assert len(bins) <= packing.lower_bound(np.bincount(lengths, minlength=2049), 2048) + 2
+            assert used(packing.complete(np.bincount(lengths, minlength=21), 20)) == brute_bins(sorted(lengths.tolist(), reverse=True), 20)
+    for n in (3000, 60_000):
+        counts = np.bincount(rng.integers(1, 1800, n), minlength=2049)
+        patterns = packing.complete(counts, 2048)
+        assert unpacked(patterns, 2048) == counts.tolist() and used(patterns) <= packing.lower_bound(counts, 2048) + 2
+        assert unpacked(packing.best_fit(counts, 2048), 2048) == counts.tolist()
+        assert used(patterns) <= used(packing.best_fit(counts, 2048))
     assert packing.complete(np.zeros(21, np.int64), 20) == []
 
 
+def used(patterns):
+    return sum(n for _, n in patterns)
+
+
+def unpacked(patterns, capacity):
+    counts = [0] * (capacity + 1)
+    for p, n in patterns:
+        assert sum(p) <= capacity
+        for x in p:
+            counts[x] += n
+    return counts
+
+
+def test_bin_completion_of_small_random_cases():
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        lengths = rng.integers(1, 21, int(rng.integers(1, 13))) if k % 2 else rng.integers(3, 11, int(rng.integers(1, 15)))
+        assert used(packing.complete(np.bincount(lengths, minlength=21), 20)) == brute_bins(sorted(lengths.tolist(), reverse=True), 20)
+
+
+def test_dominated_fillings():
+    spare = np.array([5, 9])
+    assert packing.dominated((4,), 1, spare) and not packing.dominated((4,), 0, spare)
+    assert packing.dominated((4, 5), 0, spare) and not packing.dominated((9,), 0, spare)
+    assert packing.completions(np.bincount([7, 5, 2, 2], minlength=10), 9) == [(7, 2)]
+
+
+def test_packing_over_many_tasks(spark):
+    """Pieces of a hot source fill up with those of other tasks."""
+    long, short = "word " * 1100, "word " * 900
+    docs = spark.createDataFrame([(i, long if i < 60 else short) for i in range(120)], "doc_id long, text string").coalesce(2)
+    got = packing.pack(docs).collect()
+    assert len({p.sequence_id for p in got}) == 60
+
+
 def brute_bins(lengths, room):
     best = len(lengths)
 
@@ -228,8 +284,7 @@ def test_token_ids_are_those_of_tokenizers():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
-    texts = [r[1] or "" for r in odd_rows() if len(r[1] or "") < 20_000] + ["<|endoftext|> x", "it's  \n\n two x   ½ 😀", "a b" * 40_000]
+    texts = [r[1] or "" for r in odd_rows() if len(r[1] or "") < 20_000] + ["<|endoftext|> x", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a" * 70_000 + "<|endoftext|>", "it's  \n\n two x   ½ 😀", "a b" * 40_000]
     texts += pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()
     fast = tokens.encoder()
     assert [fast(t) for t in texts] == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import feistel, langid, licenses, media, queries, simhash, tokenout, tokens, toxicity
@@ -185,22 +186,39 @@ def test_write_tiles(spark, tmp_path):
     assert tile.shape == (5, 5) and [r.error for r in made] == [None, "neither Netpbm nor BMP", "no content"]
 
 
+def brute_slots(rows, length):
+    """What must be found at each slot: contents in the order of their hashes, sent on by the permutation."""
+    encode, out = tokens.encoder(), Counter()
+    for d, t, *_ in rows:
+        ids = np.array([*encode(t or ""), 0], "<u4")
+        out.update((d, k, len(ids[at : at + length]), zlib.crc32(ids[at : at + length].tobytes())) for k, at in enumerate(range(0, len(ids), length)))
+    return out
+
+
 def test_shards(spark, docs, empty, tmp_path):
     rows = tokenout.sequences(docs, length=64, per_shard=10).collect()
-    encode, want = tokens.encoder(), Counter()
-    for d, t, *_ in odd_rows():
-        ids = np.array([*encode(t or ""), 0], "<u4")
-        want.update((d, k, zlib.crc32(ids[at : at + 64].tobytes())) for k, at in enumerate(range(0, len(ids), 64)))
-    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows) == want
+    assert Counter((r.doc_id, r.piece, r.n, r.ids_crc32) for r in rows) == brute_slots(odd_rows(), 64)
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all(r.shard == r.slot // 10 and r.byte_offset == r.slot % 10 * tokenout.stride(64) for r in rows)
-    shards = tokenout.write_shards(docs, str(tmp_path / "s"), length=64, per_shard=10)
-    by_slot = {r.slot: r.ids_crc32 for r in rows}
-    read = [zlib.crc32(x.astype("<u4").tobytes()) for x in tokenout.read_from(shards, 7, 64, 10)]
-    assert Counter(read + [zlib.crc32(x.astype("<u4").tobytes()) for x, _ in zip(tokenout.read_from(shards, 0, 64, 10), range(7), strict=False)]) == Counter(by_slot.values())
+    # Another split, the same order; reading goes on from any slot.
+    folder, by_slot = str(tmp_path / "s"), {r.slot: (r.doc_id, r.piece, r.ids_crc32) for r in rows}
+    assert tokenout.write_shards(docs.repartition(7), folder, length=64, per_shard=10) == len(rows)
+    for start in (0, 7, 10, len(rows) - 1):
+        read = [(d, p, zlib.crc32(x.astype("<u4").tobytes())) for d, p, x in tokenout.read_from(spark, folder, start, 64, 10, records=3)]
+        assert read == [by_slot[s] for s in range(start, len(rows))]
+    assert list(tokenout.read_from(spark, folder, len(rows) + 10, 64, 10)) == []
     assert tokenout.sequences(empty).count() == 0 and sorted(feistel.permute(i, 9, "x") for i in range(9)) == list(range(9))
 
 
+def test_slots_follow_the_order_of_contents(spark, docs):
+    rows, _, total = tokenout.slotted(docs, 64, 10)
+    order = [F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(tokenout.BUCKETS)), F.xxhash64("doc_id", "piece", "ids"), "doc_id", "piece", "ids"]
+    ranked = rows.orderBy(*order).collect()
+    assert sorted(r.slot for r in ranked) == sorted(feistel.permute(i, total, tokenout.KEY) for i in range(total))
+    alike = [(r.doc_id, r.piece, bytes(r.ids)) for r in ranked]
+    assert sorted((*a[1:], str(a[0]), r.slot) for a, r in zip(alike, ranked, strict=True)) == sorted((*a[1:], str(a[0]), feistel.permute(i, total, tokenout.KEY)) for i, a in enumerate(alike))
+
+
 def test_pipeline_stages(spark, tmp_path):
     read = spark.read.parquet(f"{SMALL}/documents.parquet")
     every = read.toPandas().set_index("doc_id")
