@@ -177,15 +177,15 @@ def brute_contamination(docs, items, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 400])
-def test_contamination(docs, spark, block):
+@pytest.mark.parametrize("bits", [1 << 16, decontaminate.FILTER])
+def test_contamination(docs, spark, bits):
     rows = odd_rows()
     long = rows[16][1].split()
-    items = [(1, " ".join(long[5:30])), (2, " ".join(long[5:30])), (3, "word"), (4, None), (5, "..."), (6, " ".join(long[2:9])), (None, " ".join(long[20:34])), (8, "a" * 900), (9, "ab " * 15), (9, "ab " * 15)]
+    items = [(1, " ".join(long[5:30])), (2, " ".join(long[5:30])), (3, "word"), (4, None), (5, "..."), (6, " ".join(long[2:9])), (None, " ".join(long[20:34])), (8, "a" * 900), (9, "ab " * 15), (9, "ab " * 15), (9, " ".join(long[40:55])), (None, " ".join(long[60:75])), (None, " ".join(long[60:75])), (11, " ".join(long[100:400]))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, lang string")
-    got = Counter(tuple(r) for r in decontaminate.contamination(docs, benchmark, block_bytes=block).collect())
+    got = Counter(tuple(r) for r in decontaminate.contamination(docs, benchmark, bits=bits).collect())
     assert got == brute_contamination(rows, items, 10)
-    clean = decontaminate.clean(docs, benchmark, block_bytes=block)
+    clean = decontaminate.clean(docs, benchmark, bits=bits)
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for d, *_, bad in got.elements() if not bad) and clean.columns == docs.columns
 
 
