@@ -16,7 +16,24 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; a file of few row groups, which few tasks could read, is dealt out to all cores."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = row_groups(found)
+    return found.repartition(spark.sparkContext.defaultParallelism) if groups is not None and groups < spark.sparkContext.defaultParallelism else found
+
+
+def row_groups(table: DataFrame) -> int | None:
+    """The row groups of a table of one file, read from its footer; None for several files, which are splits enough or cheap to read."""
+    files = table.inputFiles()
+    if len(files) != 1:
+        return None
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        return reader.getRowGroups().size()
+    finally:
+        reader.close()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,8 +5,9 @@ into BUCKETS; transitions between labels are learned with them. Training chains
 different languages in turns, so switches are seen. Forward-backward over chains of CHAIN words gives each word's marginals;
 a text's language is the label with the largest sum of them, its score the mean marginal.
 
-The model is fitted on the driver on at most SAMPLE documents a language, those of the smallest hash of doc_id and text, whatever the size of the
-table, and is broadcast; texts are read whole, row by row, without a shuffle. Words recur, so their weights are kept in each worker.
+The model is fitted on the driver on a bounded sample, whatever the size of the table: at most SAMPLE distinct documents a language, those of the smallest hash of doc_id and text,
+and of a longer one CHARACTERS in a row from a place that the hash names. It is broadcast; all texts are read whole, row by row, without a shuffle. Words recur, so their
+weights are kept in each worker from task to task.
 
 NULL texts and texts without a letter are ``und`` with score 0. NULL languages are not learned from; with no learned language every text is ``und``. NULL and repeated
 doc_ids get a row each. Ties go to the alphabetically first language. An empty table gives an empty result; other columns are ignored. A very long text
@@ -16,30 +17,40 @@ is many chains, worked on a few at a time.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import durable, remainder, slices
 
 SAMPLE, FOLDS, BUCKETS, CHAIN, BATCH, EPOCHS = 400, 5, 1 << 17, 128, 512, 3
+#: Characters a language's sample text has at most, and a labelled unit.
+CHARACTERS, UNIT = 4000, 24
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; digits of other kinds (fractions, exponents) count inside a run, but make none."""
-    return [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    """Lower-cased runs of letters; digits of other kinds (fractions, exponents) count inside a run, but make none.
+
+    A run of more than UNIT characters, as in scripts without blanks, is cut into units of so many, each labelled on its own.
+    """
+    found = [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    if all(len(w) <= UNIT for w in found):
+        return found
+    return [w[k : k + UNIT] for w in found for k in range(0, len(w), UNIT)]
 
 
 def features(word: str) -> list[int]:
     """Buckets of the word, its first and last 1 to 5 bytes, and its 2-grams and 3-grams of bytes with ends marked."""
     crc, whole = zlib.crc32, word.encode()
-    marked = b"^" + whole[:60] + b"$"
+    marked = b"^" + whole + b"$"
     found = [crc(whole, 1)]
     found += [crc(whole[:k], 2) for k in range(1, 6)] + [crc(whole[-k:], 3) for k in range(1, 6)]
     found += [crc(marked[i : i + 2], 4) for i in range(len(marked) - 1)] + [crc(marked[i : i + 3], 5) for i in range(len(marked) - 2)]
@@ -240,14 +251,17 @@ def held_out(doc_id: str, folds: int = FOLDS) -> Column:
     return remainder(doc_id, folds) == 0
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, characters: int = 4000) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
     """A model from at most ``sample`` documents a language; of a longer one, ``characters`` from a place that its hash names."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
     # What is broadcast here, a count and ``sample`` hashes a language, is a hundredth of the model, which has BUCKETS weights a language and is broadcast too.
-    # A cut by hash leaves about twice the sample of each language, so no language's rows meet in one task; the smallest of these are taken.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # A cut by hash leaves little more than the sample of each language, so no language's rows meet in one task; the smallest of these are taken.
+    # Repeated rows are one here, or they would crowd the others of their language out.
+    unlike = durable(rows.select("lang", "h").distinct())
+    counts = unlike.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(1 << 63))
-    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").where(place < F.lit(2.0 * sample) / F.col("n")).select("lang", "h").distinct()
+    # Chance leaves fewer than the sample only where there is hardly more; 8 sqrt(sample) are some eight standard deviations.
+    near = unlike.join(F.broadcast(counts), "lang").where(place < F.lit(sample + 8.0 * (sample**0.5 + 4)) / F.col("n")).select("lang", "h")
     few = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))).where(F.col("k") <= sample).select("lang", "h")
     span = F.greatest(F.lit(1), F.length("text") - characters + 1)
     chosen = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", F.substring("text", F.pmod(F.xxhash64("h"), span).cast("int") + 1, F.lit(characters)).alias("text"))
@@ -255,15 +269,51 @@ def train(docs: DataFrame, sample: int = SAMPLE, characters: int = 4000) -> Mode
     return fit([r.text for r in found], [r.lang for r in found])
 
 
+_models: dict[str, Model] = {}
+
+
+def _sent(docs: DataFrame, model: Model) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, (model.languages, model.weights.astype(np.float32), model.transitions, model.start)))
+
+
+def _kept(known: Broadcast) -> Model:
+    """A worker's model, with the words it has met; the last one stays for the tasks to come."""
+    name, parts = known.value
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(*parts)
+    return _models[name]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    known = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.transitions, model.start))
+    known = _sent(docs, model)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Model(*known.value)
+        judge = _kept(known)
         for batch in slices(batches, 1, 1 << 20):
             found = judge.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id").alias("held_out"))
     return rows.mapInArrow(scan, SCHEMA)
+
+
+def switches(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and runs of each row: which language each run of words (units) is in, as array of (first, last, lang), counted from 0; none without a letter."""
+    known = _sent(docs, model)
+    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))])
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _kept(known)
+        for batch in slices(batches, 1, 1 << 20):
+            split = [words_of(t) for t in batch.column(1).to_pylist()]
+            out = []
+            for found in judge.marginals(split) if judge.languages else [np.empty((0, 0))] * len(split):
+                best = found.argmax(axis=1) if len(found) else np.empty(0, np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+                out.append([{"first": a, "last": b - 1, "lang": judge.languages[int(best[a])]} for a, b in zip(cuts, cuts[1:], strict=False) if b > a])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, schema.types[1])], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, runs array<struct<first:int,last:int,lang:string>>")

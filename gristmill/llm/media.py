@@ -4,7 +4,8 @@
 row by row on the executors, without a shuffle. Equal payloads give equal values.
 
 A NULL text is empty; an empty text is 64 zero bytes; NULL or repeated doc_ids are kept; an empty table gives an empty result; other columns
-are ignored. A very long text is a taller image: memory is a few times the largest text.
+are ignored. A very long text is a taller image: memory is a few times the largest text, as text, payload, file and samples; the
+integral image is made in bands. Samples of more than 8 bits are scaled by their largest value; an image without samples is an error in its row.
 """
 
 from __future__ import annotations
@@ -48,8 +49,18 @@ def encode(pixels: np.ndarray, kind: str = "pgm") -> bytes:
 
 def decode(data: bytes) -> np.ndarray:
     """Netpbm (P1 to P6) or BMP to an array of its samples: (height, width), or (height, width, 3) in RGB."""
-    if data[:2] == b"BM":
-        return _bmp(data)
+    return read(data)[0]
+
+
+def read(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples of ``decode``, and the value that stands for full brightness. An image without samples is an error."""
+    pixels, most = (_bmp(data), 255) if data[:2] == b"BM" else _netpbm(data)
+    if not pixels.size:
+        raise ValueError("an image without samples")
+    return pixels, most
+
+
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
     if not re.match(rb"P[1-6]\s", data):
         raise ValueError("neither Netpbm nor BMP")
     kind, at, fields = data[1] - 48, 2, []
@@ -60,21 +71,23 @@ def decode(data: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     width, height, most = *fields[:2], fields[2] if len(fields) > 2 else 1
+    if not 0 < most < 65536:
+        raise ValueError("the largest sample is 1 to 65535")
     depth = 3 if kind in (3, 6) else 1
-    shape = (height, width, 3) if depth == 3 else (height, width)
+    shape, kept = (height, width, 3) if depth == 3 else (height, width), np.uint8 if most < 256 else np.uint16
     if kind == 1:
         flat = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:]), np.uint8)[: height * width] - 48
-        return (1 - flat).reshape(shape)
+        return (1 - flat).reshape(shape), most
     if kind in (2, 3):
         flat = np.array(re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[: height * width * depth], dtype=np.int64)
-        return flat.astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
+        return flat.astype(kept).reshape(shape), most
     at += 1
     if kind == 4:
         stride = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(data, np.uint8, height * stride, at).reshape(height, stride), axis=1)[:, :width]
-        return 1 - bits
+        return 1 - bits, most
     flat = np.frombuffer(data, np.uint8 if most < 256 else ">u2", height * width * depth, at)
-    return flat.astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
+    return flat.astype(kept).reshape(shape), most
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -98,25 +111,43 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels if pixels.ndim == 2 else (pixels * np.array([0.299, 0.587, 0.114])).sum(axis=2)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each cell of a ``height`` by ``width`` grid, from the integral image; edges inside a pixel take their share of it."""
-    h, w = pixels.shape
-    table = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
+def area_resize(pixels: np.ndarray, height: int, width: int, band: int = 4096) -> np.ndarray:
+    """Mean over each cell of a ``height`` by ``width`` grid, from the integral image; edges inside a pixel take their share of it.
 
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(table) - 2)
-        part = (edges - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    rows = at(np.arange(height + 1) * h / height, table)
-    cells = at(np.arange(width + 1) * w / width, rows.T).T
-    return np.diff(np.diff(cells, axis=0), axis=1) / (h / height * w / width)
-
-
-def difference_hash(pixels: np.ndarray, side: int = 8) -> tuple[str, np.ndarray]:
+    The integral image is made ``band`` rows at a time, each going on from the last row of the one before, and only the rows at edges are kept: memory doesn't grow with the image.
+    """
+    h, w = pixels.shape[:2]
+    kind = np.int64 if pixels.ndim == 2 and pixels.dtype.kind in "ui" else np.float64  # whole numbers stay so to the last division
+
+    def edges(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pixel each edge falls into, and how many of the ``cells`` parts of it stand before the edge."""
+        low, part = np.divmod(np.arange(cells + 1) * size, cells)
+        return np.minimum(low, size - 1), np.where(low == size, cells, part)
+
+    low, part = edges(h, height)
+    needed = np.unique(np.concatenate([low, low + 1]))
+    kept, last = np.zeros((len(needed), w + 1), kind), np.zeros(w + 1, kind)
+    for at in range(0, h, band):
+        table = np.zeros((min(band, h - at) + 1, w + 1), kind)
+        np.cumsum(np.cumsum(grey(pixels[at : at + band]), axis=0, dtype=kind), axis=1, out=table[1:, 1:])
+        table += last
+        inside = (needed >= at) & (needed < at + len(table))
+        kept[inside] = table[needed[inside] - at]
+        last = table[-1]
+    rows = kept[np.searchsorted(needed, low)] * (height - part)[:, None] + kept[np.searchsorted(needed, low + 1)] * part[:, None]
+    low, part = edges(w, width)
+    cells = rows[:, low] * (width - part) + rows[:, low + 1] * part
+    return np.diff(np.diff(cells, axis=0), axis=1) / (h * w)
+
+
+def tile_of(pixels: np.ndarray, most: int, height: int, width: int) -> np.ndarray:
+    """The grey image at that size, samples of any depth scaled to 8 bits."""
+    return np.rint(area_resize(pixels, height, width) * (255 / most)).clip(0, 255).astype(np.uint8)
+
+
+def difference_hash(pixels: np.ndarray, most: int = 255, side: int = 8) -> tuple[str, np.ndarray]:
     """Hash of ``side`` squared bits, in hex: whether a cell is brighter than the one to its left; and the tile it is read from."""
-    tile = np.rint(area_resize(grey(pixels), side, side + 1)).astype(np.uint8)
+    tile = tile_of(pixels, most, side, side + 1)
     bits = tile[:, 1:] > tile[:, :-1]
     return np.packbits(bits).tobytes().hex(), tile
 
@@ -169,9 +200,9 @@ def write_tiles(media: DataFrame, path: str, content: str = "content", height: i
                 try:
                     if data is None:
                         raise ValueError("no content")
-                    pixels = decode(data)
-                    tile = npy(np.rint(area_resize(grey(pixels), height, width)).astype(np.uint8))
-                    tiles.append(tile), hashes.append(difference_hash(pixels)[0]), errors.append(None)
+                    pixels, most = read(data)
+                    tile, found = npy(tile_of(pixels, most, height, width)), difference_hash(pixels, most)[0]
+                    tiles.append(tile), hashes.append(found), errors.append(None)
                 except (ValueError, IndexError, struct.error) as e:
                     tiles.append(None), hashes.append(None), errors.append(str(e))
             arrays = [*batch.columns[:-1], pa.array(tiles, pa.binary()), pa.array(hashes, pa.string()), pa.array(errors, pa.string())]

@@ -1,7 +1,7 @@
 """Sharding: a reproducible shuffle whose shard and slot are computed from the row number alone.
 
-Every row gets a global number: rows are spread over ``buckets`` by a hash of doc_id, numbered inside a bucket, and a
-table of ``buckets`` bucket sizes (bounded, so it is broadcast) turns these into numbers without gaps. A keyed Feistel
+Every row gets a global number: rows are spread over ``buckets`` by a hash of doc_id, size and checksum, numbered inside a bucket, and a
+table of ``buckets`` bucket sizes (bounded, so it is broadcast) turns these into numbers without gaps; so the order is one of contents, however the input is split. A keyed Feistel
 permutation with cycle walking shuffles the numbers; the permuted number p lies in shard p mod n at slot p div n. So
 shards differ by one row at most, slots have no gaps, and any reader can compute both ways. DataFrame functions only.
 
@@ -12,32 +12,26 @@ one. An empty table gives an empty result. Other columns, whatever their names,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import feistel
-from .common import text_column
+from .common import durable, text_column
 
 BUCKETS, CHUNK = 4096, 100_000
 
 
-def bucket_of(doc_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets))
-
-
 def assign(docs: DataFrame, shards: int = 40, key: str = "shuffle", buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: the row's place in a shuffle over ``shards`` shards."""
     text = text_column(F.col("text"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("b", bucket_of(F.col("doc_id"), buckets))
-    counts = docs.select(bucket_of(F.col("doc_id").cast("long"), buckets).alias("b")).groupBy("b").count()
+    place = F.xxhash64("doc_id", "size", "text_crc32")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    # Rows that are alike are one here; what is written is a few numbers a row.
+    unlike = durable(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("alike")).withColumn("place", place).withColumn("b", F.pmod("place", F.lit(buckets))))
+    counts = unlike.groupBy("b").agg(F.sum("alike").alias("count"))
     starts = counts.select("b", (F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("start"))
-    total = docs.count()
-    in_bucket = Window.partitionBy("b").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    unlike = rows.groupBy("b", "doc_id", "size", "text_crc32").agg(F.count("*").alias("alike"))
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).head()[0]
+    in_bucket = Window.partitionBy("b").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     numbered = unlike.withColumn("before", F.sum("alike").over(in_bucket) - F.col("alike")).join(F.broadcast(starts), "b")
     # Rows that are alike differ only by their number; they come out in chunks.
     each = (

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import durable, fresh, slices, utf8
 
-SHINGLE, RADIUS, SEGMENTS, SMALL, MOST = 4, 4, 3, 48, 100_000
+SHINGLE, RADIUS, SMALL, MOST = 4, 4, 48, 100_000
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -70,6 +70,15 @@ def plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, share) for a, b, share in zip(cuts, cuts[1:], shares, strict=False) if share >= 0]
 
 
+def segments_for(fingerprints: int, radius: int) -> int:
+    """As many segments as leave an entry a few members: few, long segments for many fingerprints, though their balls are larger. Any number finds the same links."""
+    found = 1
+    for segments in range(1, radius + 2):
+        if 64 // segments >= fingerprints.bit_length() + 1 or segments == 2:
+            found = segments
+    return found
+
+
 def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)], np.uint64)
 
@@ -204,10 +213,11 @@ def _points(radius: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
     return scan
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, segments: int | None = None, most: int = MOST) -> DataFrame:
     """Links (a, b) of fingerprints (column fp, distinct) whose components are those of all pairs at ``radius`` bits or fewer."""
     if radius % 2:
         most = 1 << 62  # balls of half an odd radius would link too much
+    segments = segments or segments_for(distinct.count(), radius)
     entries = distinct.select("fp").mapInArrow(_entries(radius, segments), "entry long, fp long, own boolean")
     found = durable(entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(_linked(radius, most), "a long, b long"))
     crowd = found.where("b is null").select(F.col("a").alias("fp")).distinct()
@@ -220,7 +230,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, m
     return found.unionAll(starred)
 
 
-def _classified(docs: DataFrame, shingle: int, radius: int, segments: int, most: int) -> DataFrame:
+def _classified(docs: DataFrame, shingle: int, radius: int, segments: int | None, most: int) -> DataFrame:
     """doc_id, fp, x (a hash of the text), root (the component's smallest fingerprint), component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = durable(fingerprints(texts, shingle))
@@ -234,12 +244,12 @@ def _classified(docs: DataFrame, shingle: int, radius: int, segments: int, most:
     return marked.withColumn("k", F.xxhash64("fp")).join(named, "k").where("fp = f").select("doc_id", "fp", "x", "root", "component_id")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int | None = None, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to."""
     return _classified(docs, shingle, radius, segments, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int | None = None, most: int = MOST) -> DataFrame:
     """The document of the smallest doc_id of each group (NULL comes last, then the hash of the text decides), with all its columns.
 
     Rows of equal doc_id and text are one document and stay or go together.

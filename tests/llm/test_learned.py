@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -120,7 +121,86 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(marginal, want) and np.allclose(expected, pairs)
 
 
-def test_licences(spark, docs, empty):
+#: Licences and notices as they are published.
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+}
+
+
+def compare_with_sql(spark, folder, docs):
+    docs.write.parquet(str(folder / "documents.parquet"))
+    ours = queries.op7_licenses(spark, str(folder))
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    theirs = sql.sql(queries.ORACLE_SQL["op7_licenses"])
+    assert Counter(map(tuple, ours.collect())) == Counter(theirs.select(*ours.columns).fetchall())
+
+
+def test_licences(spark, docs, empty, tmp_path):
     grant, notice, warranty = (licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "mit-warranty"))
     cases = [
         ("MIT License\n\nCopyright (c) x\n\n" + f"{grant.capitalize()}:\n{notice}.\n{warranty}.", "MIT"),
@@ -129,13 +209,25 @@ def test_licences(spark, docs, empty):
         ("Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only,CC-BY-NC-4.0"),
         ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
         ("we permit nothing", ""),
+        (WRAPPED["MIT"], "MIT"),
+        ("/*\n" + "\n".join(f" * {x}" for x in WRAPPED["MIT"].splitlines()) + "\n */\nint main", "MIT"),
+        (WRAPPED["BSD-3-Clause"], "BSD-3-Clause"),
+        ("\n".join(f"# {x}" for x in WRAPPED["Apache-2.0"].splitlines()), "Apache-2.0"),
+        (WRAPPED["GPL-3.0-or-later"], "GPL-3.0-or-later"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone", "GPL-3.0-only"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+        ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("# SPDX-License-Identifier: BSD-2-Clause\nimport os", "BSD-2-Clause"),
         (None, ""),
         ("", ""),
     ]
     rows = [(i, t, "x") for i, (t, _) in enumerate(cases)]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+    long = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(WRAPPED.values())], "doc_id long, text string")).collect()}
+    assert long[0] == "mit-title,mit-grant,mit-notice,mit-warranty,mit-liability" and long[3] == "gpl3-terms,gpl-hope,gpl-fitness,gpl-see,gpl-copy"
     assert licenses.scan(docs).count() == len(odd_rows()) and licenses.scan(empty).count() == 0
+    compare_with_sql(spark, tmp_path, docs.unionByName(spark.createDataFrame([(900 + i, t, None, None, 0, 0, 0, 0.0) for i, (t, _) in enumerate(cases)], DOCS)))
     ours = queries.op7_licenses(spark, SMALL).toPandas().sort_values("doc_id").astype(str).reset_index(drop=True)
     sql = duckdb.connect()
     sql.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
@@ -153,7 +245,8 @@ def test_images_round_trip():
     assert media.decode(b"P2 2 1 9 # x\n3 9").tolist() == [[3, 9]]
     assert media.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
     assert media.decode(b"P5 1 1 65535 " + b"\x01\x02").tolist() == [[258]]
-    for bad in (b"", b"P5", b"xx", b"BM"):
+    assert media.read(b"P5 1 1 65535 " + b"\x01\x02")[1] == 65535
+    for bad in (b"", b"P5", b"xx", b"BM", b"P5 0 0 255 ", b"P5 1 1 0 x"):
         with pytest.raises((ValueError, struct.error)):
             media.decode(bad)
 
@@ -175,6 +268,7 @@ def test_media_features(docs, empty, kind):
         payload = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
         want[d, len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert Counter((r.doc_id, r.feature) for r in got) == Counter((d, brute_feature(t)) for d, t, *_ in odd_rows())
     same = [r for r in got if r.doc_id in (7, 8)]
     assert len({(r.feature, r.media_sha256, bytes(r.tile)) for r in same}) == 1 and media.media_features(empty).count() == 0
 
@@ -186,6 +280,33 @@ def test_write_tiles(spark, tmp_path):
     assert tile.shape == (5, 5) and [r.error for r in made] == [None, "neither Netpbm nor BMP", "no content"]
 
 
+def test_deep_and_empty_images(spark, tmp_path):
+    """Samples of any depth give the tile of the 8 bit image; an image without samples is an error in its row."""
+    pixels = np.random.default_rng(3).integers(0, 256, (9, 20))
+    deep, ten = (pixels * 257).astype(">u2").tobytes(), np.rint(pixels * 1023 / 255).astype(">u2").tobytes()
+    images = [(1, b"P5 20 9 255 " + pixels.astype(np.uint8).tobytes()), (2, b"P5 20 9 65535 " + deep), (3, b"P5 20 9 1023 " + ten), (4, b"P5 0 0 255 "), (5, b"P4 8 1\n\x0f")]
+    made = media.write_tiles(spark.createDataFrame(images, "id long, content binary"), str(tmp_path / "t"), height=3, width=5).orderBy("id").collect()
+    tiles = [np.load(io.BytesIO(bytes(r.tile))).astype(int) if r.tile else None for r in made]
+    assert (tiles[0] == np.rint(media.area_resize(pixels, 3, 5))).all() and (tiles[1] == tiles[0]).all() and abs(tiles[2] - tiles[0]).max() <= 1
+    assert made[0].difference_hash == made[1].difference_hash and made[3].error == "an image without samples" and tiles[4][0].tolist() == [255, 255, 128, 0, 0]
+
+
+@pytest.mark.parametrize("band", [1, 7, 4096])
+def test_bands_of_the_integral_image(band):
+    pixels = np.random.default_rng(4).integers(0, 256, (53, 64))
+    assert np.allclose(media.area_resize(pixels, 8, 9, band), media.area_resize(pixels, 8, 9, 1000))
+
+
+def brute_feature(text):
+    """Means of 8 by 9 areas of the image by exact fractions, and whether each is brighter than the one to its left."""
+    b = (text or "").encode()
+    grid = np.frombuffer(b + bytes(-len(b) % 64 or (0 if b else 64)), np.uint8).reshape(-1, 64).astype(int)
+    h = len(grid)
+    cells = np.kron(grid, np.ones((8, 9), int)).reshape(8, h, 9, 64).sum(axis=(1, 3))
+    tile = np.array([[round(Fraction(int(x), h * 64)) for x in row] for row in cells])
+    return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
+
+
 def brute_slots(rows, length):
     """What must be found at each slot: contents in the order of their hashes, sent on by the permutation."""
     encode, out = tokens.encoder(), Counter()
@@ -252,3 +373,33 @@ def test_pipeline_of_nothing(spark, tmp_path):
 def test_language_needs_a_letter():
     model = langid.fit(["alpha beta gamma delta " * 9, "uno dos tres cuatro " * 9], ["en", "es"])
     assert [p[0] for p in model.predict([None, "", "½ ² 12_3", "Ⅷ ½", "uno"])] == ["und", "und", "und", "und", "es"]
+
+
+def test_every_character_of_a_long_run_counts():
+    assert langid.words_of("a" * 60 + " b") == ["a" * 24, "a" * 24, "a" * 12, "b"]
+    assert langid.features("x" * 24) != langid.features("x" * 23 + "y") and len(langid.features("ab" * 12)) > 24
+
+
+def test_no_language_is_lost_to_repeated_rows(spark):
+    english = ["the cat sat on the mat and looked at the rain " * 3 + str(i) for i in range(3)]
+    base = spark.createDataFrame([(1, english[0], "en"), (2, english[1], "en"), (3, english[2], "en")], "doc_id long, text string, lang string")
+    many = base.crossJoin(spark.range(20_000)).select("doc_id", "text", "lang")
+    few = spark.createDataFrame([(100 + i, f"el perro come en la casa y mira la lluvia {i} " * 3, "es") for i in range(50)], "doc_id long, text string, lang string")
+    assert langid.train(many.unionAll(few)).languages == ["en", "es"]
+
+
+def test_switches_label_runs_of_words(spark):
+    model = langid.fit(["the cat sat on the mat and looked " * 30, "el perro come en la casa y mira " * 30] * 4, ["en", "es"] * 4)
+    docs = spark.createDataFrame([(1, "the cat sat on the mat el perro come en la casa"), (2, None), (3, "12 ..")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in langid.switches(docs, model).collect()}
+    assert got == {1: [(0, 5, "en"), (6, 11, "es")], 2: [], 3: []}
+
+
+def test_training_on_executors_is_training_at_hand(spark):
+    d, known = tables()
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    ours = toxicity.train(spark.read.parquet(f"{SMALL}/documents.parquet"), labels)
+    known = known[[zlib.crc32(str(i).encode()) % 4 != 2 for i in known.doc_id]].sort_values("doc_id")
+    theirs = toxicity.fit(known.text.fillna("").tolist(), known.toxic.tolist())
+    assert ours.weights.keys() == theirs.weights.keys() and abs(ours.bias - theirs.bias) < 1e-6
+    assert max(abs(ours.weights[f] - theirs.weights[f]) for f in theirs.weights) < 1e-6
