@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, similarity
 from .common import durable, fresh, slices, utf8
+from .similarity import TABLE
 
 SHINGLE, RADIUS, SMALL, MOST = 4, 4, 48, 100_000
-TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -260,3 +260,29 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segment
     kept = rows.groupBy("root").agg(F.min(F.struct(*keys(F.col("doc_id"), F.col("x")))).alias("kept")).select("kept.*")
     d, x = keys(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
     return docs.withColumns(dict(zip(names, (d, x), strict=True))).join(kept, names, "left_semi").drop(*names)
+
+
+def near_dedup(docs: DataFrame, shingle: int = similarity.SHINGLE, radius: int = RADIUS, small: int = similarity.SMALL, slots: int = similarity.SLOTS) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-copies, with all its columns: texts linked by a Jaccard index of 0.8 or more of their five-word shingles.
+
+    Texts whose fingerprints meet by multi-index hashing are verified first, the rest of the pairs is found by prefixes (``similarity``). Texts without words (NULL, empty, blank) are
+    nobody's copies and stay; equal texts are copies. NULL doc_ids come last in a group, then the hash of the text decides; rows of equal doc_id and text stay or go together.
+    """
+    names = [fresh(docs.columns, "_kept_d"), fresh(docs.columns, "_kept_x")]
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    texts = docs.where(worded).select(F.xxhash64(text).alias("x"), text.alias("text"))
+    marked = durable(fingerprints(texts.withColumn("doc_id", F.lit(0).cast("long")), shingle).select("fp", "x").distinct())
+    of = marked.groupBy("fp").agg(F.min("x").alias("rep"))
+    met = links(of.select("fp"), radius)
+    pairs = marked.join(of, "fp").where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b"))
+    side = lambda c: of.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    pairs = pairs.unionAll(met.join(side("a"), "a").join(side("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+    found = graph.components(similarity.links(texts, similarity.verified(pairs, texts), small, slots))
+    keys = docs.where(worded).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(names[0]), F.xxhash64(text).alias(names[1]))
+    least = keys.groupBy(F.col(names[1]).alias("x")).agg(F.min(names[0]).alias("d"))
+    rooted = least.join(found.withColumnRenamed("node", "x"), "x", "left").select("d", "x", F.coalesce("component", "x").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "x")).alias("kept")).select(F.col("kept.d").alias(names[0]), F.col("kept.x").alias(names[1]))
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[1]: F.xxhash64(text)})
+    # The join puts its keys first, so they go before the rows are put together.
+    return keyed.where(worded).join(kept, names, "left_semi").drop(*names).unionAll(docs.where(~worded))

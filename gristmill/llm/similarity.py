@@ -1,12 +1,12 @@
-"""Near-copies by exact similarity: texts whose sets of five-word shingles have a Jaccard index of SIMILAR or more.
+"""The exact part of SimHash near-dedup: texts whose sets of five-word shingles have a Jaccard index of SIMILAR or more.
 
-Candidates come from prefixes. All shingles have one order; a set of n that is similar to another shares a shingle with it among the first
-n - ceil(SIMILAR n) + 1 of each, so no pair is missed. Shingles of few documents come first, by counts in SLOTS hashed slots: what the slots count decides
-only how many candidates there are, not what is found. Candidates whose sizes or places rule the similarity out are left, all others are verified on
-the texts. A shingle in the prefix of more than SMALL texts links them to one of them first; pairs that this hasn't joined are then all looked at.
+Fingerprints of 64 bits can't tell this similarity: texts at 0.8 differ by some ten bits, and balls that wide hold too much of a large table. So ``simhash.near_dedup`` takes
+from multi-index hashing what is within its radius, and what it joins on the texts is a class already. The other pairs come from prefixes. All shingles have one order; a set of n
+that is similar to another shares a shingle with it among the first n - ceil(SIMILAR n) + 1 of each, so no pair is missed. Shingles of few documents come first, by counts in SLOTS
+hashed slots: what the slots count decides only how many candidates there are, not what is found. Candidates of one class, and those whose sizes or places rule the similarity out, are
+left; all others are verified on the texts. A shingle in the prefix of more than SMALL texts links them to one of them first; pairs of unlike classes are then all looked at.
 
-Words are runs without blanks, A-Z lower-cased; a text of five words or fewer is one shingle. Texts without words are nobody's copies, equal texts are
-copies of each other. NULL doc_ids come last in a group, then the hash of the text decides; rows of equal doc_id and text stay or go together.
+Words are runs without blanks, A-Z lower-cased; a text of five words or fewer is one shingle.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import durable, fresh, slices, utf8
-from .simhash import TABLE
+from .common import discard, durable, slices, utf8
 
+TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: SIMILAR as a fraction, so that sizes are compared in whole numbers.
 SHINGLE, SIMILAR, SLOTS, SMALL, BLOCK = 5, (4, 5), 1 << 20, 32, 50_000
 
@@ -49,12 +49,15 @@ def _counted(slots: int, summed: bool) -> Callable[[Iterable[pa.RecordBatch]], I
     """A task's counts of shingles by slot, as one row: of texts, or of such rows."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.uint32)
+        counts, seen = np.zeros(slots, np.uint32), set()
         for batch in batches if summed else slices(batches, 0):
-            for value in batch.column(0).to_pylist() if summed else utf8(batch.column(0)):
-                if summed:
+            if summed:
+                for value in batch.column(0).to_pylist():
                     counts += np.frombuffer(pa.decompress(value, slots * 4, "zstd", asbytes=True), np.uint32)
-                else:
+                continue
+            for value, x in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if x not in seen:
+                    seen.add(x)
                     np.add.at(counts, (shingles(value) & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())], ["counts"])
 
@@ -65,10 +68,13 @@ def _prefixes(counts, slots: int) -> Callable[[Iterable[pa.RecordBatch]], Iterat
     """(h, x, n, p): the p-th shingle of a text of n, for its prefix; shingles of one text only are left out."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
+        rare, seen = counts.value, set()
         for batch in slices(batches, 0):
             out: list[tuple[np.ndarray, ...]] = []
             for text, x in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if x in seen:
+                    continue
+                seen.add(x)
                 h = shingles(text)
                 met = rare[(h & np.uint64(slots - 1)).astype(np.int64)]
                 n = len(h)
@@ -87,31 +93,25 @@ def possible(n: np.ndarray, p: np.ndarray, m: int, q: int) -> np.ndarray:
     return np.minimum(n - p, m - q) >= need
 
 
-def _met(small: int, labelled: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidates (a, b, then NULLs) among texts that come sorted by shingle; a text of a shingle with more than ``small`` as (x, NULL, h, n, p).
-    Labelled ones are paired whatever their number, with those of other labels."""
+def _met(small: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates (a, b, then NULLs) of unlike classes among texts (h, x, n, p, label) that come sorted by shingle. A shingle with more than ``small`` texts pairs them
+    with the first of them only, and each comes out as (x, NULL, h, n, p) too; with None all pairs come out."""
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "h", "n", "p")])
 
     def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, x, n, p, *label = columns
+        h, x, n, p, label = columns
         links, crowd = [np.empty((0, 2), np.int64)], []
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
-            if high - low < 2:
+            if high - low < 2 or (label[low:high] == label[low]).all():
                 continue
             own, first = np.unique(x[low:high], return_index=True)
-            size, place = n[low:high][first], p[low:high][first]
-            if labelled:
-                name = label[0][low:high][first]
-                if (name == name[0]).all():
-                    continue
-            many = not labelled and len(own) > small
+            size, place, name = n[low:high][first], p[low:high][first], label[low:high][first]
+            many = small is not None and len(own) > small
             if many:
                 crowd.append(np.arange(low, high)[first])
             for i in range(1 if many else len(own) - 1):
-                ok = possible(size[i + 1 :], place[i + 1 :], int(size[i]), int(place[i]))
-                if labelled:
-                    ok &= name[i + 1 :] != name[i]
+                ok = possible(size[i + 1 :], place[i + 1 :], int(size[i]), int(place[i])) & (name[i + 1 :] != name[i])
                 if ok.any():
                     other = own[i + 1 :][ok]
                     links.append(np.stack([np.full(len(other), own[i]), other], axis=1))
@@ -164,17 +164,25 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose texts are similar."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar; ``texts`` has x and text, maybe repeated."""
     pairs = durable(pairs.select("a", "b").distinct())
     needed = pairs.select(F.col("a").alias("x")).unionAll(pairs.select(F.col("b").alias("x"))).distinct()
     held = durable(texts.join(needed, "x", "left_semi").groupBy("x").agg(F.first("text").alias("text")))
     joined = pairs.join(held.select(F.col("x").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("x").alias("b"), F.col("text").alias("t")), "b")
-    return durable(joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"))
+    found = durable(joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"))
+    discard(pairs, held)
+    return found
 
 
-def links(texts: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame:
-    """Links (a, b) of texts (x, a hash of the text, and text) whose components are those of all similar pairs."""
+def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """h, x, n, p and the class of x as far as the links say."""
+    label = graph.components(found).select(F.col("node").alias("x"), "component")
+    return entries.join(label, "x", "left").select("h", "x", "n", "p", F.coalesce("component", "x").alias("label"))
+
+
+def links(texts: DataFrame, found: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame:
+    """Links (a, b) of texts (x, a hash of the text, and text) whose components are those of all similar pairs; ``found`` are similar pairs that are known already."""
     text = texts.select("text", "x")
     rows = text.mapInArrow(_counted(slots, False), "counts binary").repartition(8).mapInArrow(_counted(slots, True), "counts binary").collect()
     counts = np.zeros(slots, np.uint32)
@@ -182,27 +190,10 @@ def links(texts: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame
         counts += np.frombuffer(pa.decompress(bytes(r.counts), slots * 4, "zstd", asbytes=True), np.uint32)
     entries = text.mapInArrow(_prefixes(texts.sparkSession.sparkContext.broadcast(counts), slots), "h long, x long, n long, p long")
     columns = "a long, b long, h long, n long, p long"
-    met = durable(entries.repartition("h").sortWithinPartitions("h").mapInArrow(_met(small, False), columns))
-    found = _links(met.where("b is not null"), texts)
+    met = durable(_labelled(entries, found).repartition("h").sortWithinPartitions("h").mapInArrow(_met(small), columns))
+    found = found.unionAll(verified(met.where("b is not null"), texts))
     crowd = met.where("b is null").select("h", F.col("a").alias("x"), "n", "p")
     if crowd.isEmpty():
         return found
-    label = graph.components(found).select(F.col("node").alias("x"), "component")
-    crowd = crowd.join(label, "x", "left").select("h", "x", "n", "p", F.coalesce("component", "x").alias("label"))
-    more = crowd.repartition("h").sortWithinPartitions("h").mapInArrow(_met(small, True), columns)
-    return found.unionAll(_links(more, texts))
-
-
-def dedup(docs: DataFrame, small: int = SMALL, slots: int = SLOTS) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-copies, with all its columns; texts without words stay."""
-    names = [fresh(docs.columns, "_kept_d"), fresh(docs.columns, "_kept_x")]
-    text = F.col("text").cast("string")
-    worded = F.coalesce(text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    found = graph.components(links(docs.where(worded).select(F.xxhash64(text).alias("x"), text.alias("text")), small, slots))
-    keys = docs.where(worded).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(names[0]), F.xxhash64(text).alias(names[1]))
-    least = keys.groupBy(F.col(names[1]).alias("x")).agg(F.min(names[0]).alias("d"))
-    rooted = least.join(found.withColumnRenamed("node", "x"), "x", "left").select("d", "x", F.coalesce("component", "x").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "x")).alias("kept")).select(F.col("kept.d").alias(names[0]), F.col("kept.x").alias(names[1]))
-    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[1]: F.xxhash64(text)})
-    # The join puts its keys first, so they go before the rows are put together.
-    return keyed.where(worded).join(kept, names, "left_semi").drop(*names).unionAll(docs.where(~worded))
+    more = _labelled(crowd, found).repartition("h").sortWithinPartitions("h").mapInArrow(_met(None), columns)
+    return found.unionAll(verified(more, texts))

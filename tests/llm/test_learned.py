@@ -16,8 +16,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from gristmill.llm import feistel, langid, licenses, media, queries, simhash, tokenout, tokens, toxicity
+from gristmill.llm import feistel, langid, licenses, media, queries, tokenout, tokens, toxicity
 
 from .helpers import DOCS, odd_rows
 
@@ -340,36 +339,6 @@ def test_slots_follow_the_order_of_contents(spark, docs):
     assert sorted((*a[1:], str(a[0]), r.slot) for a, r in zip(alike, ranked, strict=True)) == sorted((*a[1:], str(a[0]), feistel.permute(i, total, tokenout.KEY)) for i, a in enumerate(alike))
 
 
-def test_pipeline_stages(spark, tmp_path):
-    read = spark.read.parquet(f"{SMALL}/documents.parquet")
-    every = read.toPandas().set_index("doc_id")
-    for name, stage in corpus_pipeline.STAGES:
-        before = read.toPandas().set_index("doc_id")
-        stage(spark, read, SMALL).write.parquet(str(tmp_path / name))
-        read = spark.read.parquet(str(tmp_path / name))
-        after = read.toPandas()
-        if name == "packing":
-            assert set(after.doc_id) == set(before.index)
-            continue
-        assert list(after.columns) == corpus_pipeline.COLUMNS and after.doc_id.is_unique
-        assert set(after.doc_id) <= set(before.index)
-        after = after.set_index("doc_id")
-        if name == "simhash":
-            groups = simhash.groups(spark.read.parquet(str(tmp_path / "toxicity"))).toPandas()
-            assert set(after.index) == set(groups.component_id)
-        if name == "suffix":
-            assert (after.text.str.len() == after.n_chars).all() and (after.text.str.len() <= before.text[after.index].str.len()).all()
-        if name != "suffix":
-            assert (after.text == before.text[after.index]).all()
-    assert len(every) > read.select("doc_id").distinct().count() > 0.5 * len(every)
-
-
-def test_pipeline_of_nothing(spark, tmp_path):
-    for table in ("documents", "labels", "benchmark"):
-        spark.read.parquet(f"{SMALL}/{table}.parquet").where("false").write.parquet(str(tmp_path / f"{table}.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
 def test_language_needs_a_letter():
     model = langid.fit(["alpha beta gamma delta " * 9, "uno dos tres cuatro " * 9], ["en", "es"])
     assert [p[0] for p in model.predict([None, "", "½ ² 12_3", "Ⅷ ½", "uno"])] == ["und", "und", "und", "und", "es"]

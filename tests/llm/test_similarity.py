@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from gristmill.llm import near_copies
+from gristmill.llm import similarity, simhash
 
 from .helpers import DOCS, odd_rows
 
@@ -38,18 +38,17 @@ def test_near_copies_against_all_pairs(spark, small, slots):
     chain = [(2000 + i, " ".join(f"c{k}" for k in range(5 * i, 5 * i + 100)), None, None, 0, i, i, 0.0) for i in range(12)]  # the ends are not similar
     far = [(3000 + i, " ".join([f"t{k}" for k in range(200)] + [f"f{i}x{k}" for k in range(100)]), None, None, 0, i, i, 0.0) for i in range(8)]
     rows = odd_rows() + crowd + chain + far
-    got = near_copies.dedup(spark.createDataFrame(rows, DOCS).repartition(3), small, slots)
+    got = simhash.near_dedup(spark.createDataFrame(rows, DOCS).repartition(3), small=small, slots=slots)
     assert {(r.doc_id, r.text) for r in got.collect()} == brute_kept([r[:2] for r in rows])
-    assert near_copies.dedup(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
 def test_no_near_copy_is_left_after_the_stages(spark):
     small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:3]:
-        docs = stage(spark, docs, small)
+    docs = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, small)
     texts = docs.toPandas().sort_values("doc_id").text.tolist()
-    sets = [near_copies.shingles(t.encode()) if t else near_copies.shingles(None) for t in texts]
+    sets = [similarity.shingles(t.encode()) if t else similarity.shingles(None) for t in texts]
     at = pd.DataFrame([(h, i) for i, s in enumerate(sets) for h in s.tolist()], columns=["h", "i"])
     met = {(i, j) for _, g in at[at.h.duplicated(keep=False)].groupby("h").i for i in g for j in g if i < j}
-    assert not [(i, j) for i, j in met if near_copies.similar(sets[i], sets[j])]
+    assert not [(i, j) for i, j in met if similarity.similar(sets[i], sets[j])]
