@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, near_copies, packing, simhash, suffix_dedup, toxicity
+from gristmill.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
 from gristmill.llm.common import durable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,14 +20,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, rejected=False)
 
 
-def drop_close_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of ``op4_simhash``: equal texts, and few others."""
-    return simhash.dedup(docs)
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-copies: Jaccard of 5-word shingles of 0.8 or more."""
-    return near_copies.dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", reject_toxic), ("simhash", drop_close_fingerprints), ("near_copies", drop_near_copies), ("suffix", drop_repeats), ("benchmark", decontaminated), ("packing", pack)]
-#: Neither the classifier nor the tokens can be said in SQL; tests hold each stage against a brute-force version.
+STAGES = [("toxicity", reject_toxic), ("simhash", drop_near_copies), ("suffix", drop_repeats), ("benchmark", decontaminated), ("packing", pack)]
+#: Neither the classifier nor the tokens can be said in SQL; tests/llm/test_pipeline.py holds each stage to a brute-force version.
 ORACLE_SQL = None
 
 
