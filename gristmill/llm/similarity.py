@@ -169,7 +169,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = durable(pairs.select("a", "b").distinct())
     needed = pairs.select(F.col("a").alias("x")).unionAll(pairs.select(F.col("b").alias("x"))).distinct()
     held = durable(texts.join(needed, "x", "left_semi").groupBy("x").agg(F.first("text").alias("text")))
-    joined = pairs.join(held.select(F.col("x").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("x").alias("b"), F.col("text").alias("t")), "b")
+    # Few pairs are one small file and so one task; what is dear about them is the texts.
+    dealt = pairs.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    joined = dealt.join(held.select(F.col("x").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("x").alias("b"), F.col("text").alias("t")), "b")
     found = durable(joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"))
     discard(pairs, held)
     return found
