@@ -6,12 +6,16 @@ queries over texts without an index: only terms that some query has are counted,
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokenize, tokens, tokens_exact
 
 K1, B, MOST_TF = 0.9, 0.4, 65535
 
@@ -46,29 +50,37 @@ def tokenised(passages: DataFrame, doc: str = "doc", text: str = "text", title:
     return passages.select(F.col(doc).alias("doc"), tokens(whole).alias("tokens"))
 
 
-def with_terms(tokenised_docs: DataFrame) -> DataFrame:
-    """(doc, len, term), a row for each occurrence.
+def counted(passages: DataFrame, doc: str = "doc", text: str = "text", title: str | None = None) -> DataFrame:
+    """(doc, len, terms, counts): each text's terms once, in order, with their counts; all of Unicode. A row is a document, so nothing is shuffled to count."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    if title:
+        whole = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), whole)
+    read = passages.select(F.col(doc).alias("doc"), whole.alias("text"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(tokenize(t)) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([c.total() for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "len", "terms", "counts"])
 
-    An inner explode lets the optimizer filter on the array's size below it, which cuts every text into terms twice; an outer one doesn't.
-    """
-    return tokenised_docs.select("doc", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).where("term is not null")
+    return read.mapInArrow(count, f"doc {read.schema['doc'].dataType.simpleString()}, len int, terms array<string>, counts array<bigint>")
 
 
-def frequencies(tokenised_docs: DataFrame) -> DataFrame:
+def frequencies(counted_docs: DataFrame) -> DataFrame:
     """(doc, len, term, n): uncapped counts."""
-    each = with_terms(tokenised_docs)
-    return each.groupBy("doc", "len", "term").agg(F.count("*").alias("n"))
+    return counted_docs.select("doc", "len", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc", "len", F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
 
 
-def corpus(tokenised_docs: DataFrame) -> DataFrame:
+def corpus(counted_docs: DataFrame) -> DataFrame:
     """One row: documents and their average length; texts without terms count."""
-    return tokenised_docs.agg(F.count("*").alias("documents"), F.avg(F.size("tokens")).alias("average"), F.sum(F.size("tokens")).alias("terms"))
+    return counted_docs.agg(F.count("*").alias("documents"), F.avg("len").alias("average"), F.sum("len").alias("terms"))
 
 
 def build(passages: DataFrame, doc: str = "doc", text: str = "text", title: str | None = None, k1: float = K1, b: float = B) -> Index:
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b must be from 0 to 1")
-    read = tokenised(passages, doc, text, title)
+    # Kept on the executors' disks: one reading serves the average and the postings.
+    read = counted(passages, doc, text, title).persist(StorageLevel.DISK_ONLY)
     row = corpus(read).head()
     if not row.documents:
         raise ValueError("no passages to index")
@@ -77,7 +89,7 @@ def build(passages: DataFrame, doc: str = "doc", text: str = "text", title: str
     average = max(row.average or 0.0, 1e-300)
     capped = F.least(F.col("n"), F.lit(MOST_TF))
     postings = counts.join(terms, "term").select("term", "doc", capped.cast("int").alias("tf"), impact(F.col("idf"), capped, F.col("len"), F.lit(average), k1, b).alias("impact"))
-    return Index(postings, read.select("doc", F.size("tokens").alias("len")), terms, row.documents, row.average or 0.0, k1, b)
+    return Index(postings, read.select("doc", "len"), terms, row.documents, row.average or 0.0, k1, b)
 
 
 def save(index: Index, folder: str, parts: int = 64) -> None:
@@ -105,7 +117,7 @@ def load(spark: SparkSession, folder: str) -> Index:
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term), each term of a query once; a blank query has none."""
-    return queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    return queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(tokens_exact(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
 
 
 def ranked(scores: DataFrame, k: int, tie: str = "doc") -> DataFrame:
@@ -125,10 +137,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, query: str = "query_id
 
 def search_once(passages: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc", text: str = "text", title: str | None = None, query: str = "query_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """As ``search``, straight from texts."""
-    read = tokenised(passages, doc, text, title)
+    read = counted(passages, doc, text, title).persist(StorageLevel.DISK_ONLY)
     asked = query_terms(queries, query, query_text)
-    every = with_terms(read)
-    counts = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("n"))
+    counts = frequencies(read).join(asked.select("term").distinct(), "term", "left_semi")
     size = corpus(read).select(F.col("documents"), F.greatest(F.coalesce("average", F.lit(0.0)), F.lit(1e-300)).alias("average"))
     row = size.head()
     terms = counts.groupBy("term").agg(F.count("*").alias("df"))

@@ -48,16 +48,16 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.frequencies(bm25.tokenised(_documents(spark, sf_dir))).select("doc", "term", F.least("n", F.lit(bm25.MOST_TF)).alias("tf"))
+    return bm25.frequencies(bm25.counted(_documents(spark, sf_dir))).select("doc", "term", F.least("n", F.lit(bm25.MOST_TF)).alias("tf"))
 
 
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _documents(spark, sf_dir).select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null")
+    read = bm25.counted(_documents(spark, sf_dir)).select(F.explode("terms").alias("term"))
     return read.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.corpus(bm25.tokenised(_documents(spark, sf_dir))).select("documents", F.round("average", 6).alias("average"), "terms")
+    return bm25.corpus(bm25.counted(_documents(spark, sf_dir))).select("documents", F.round("average", 6).alias("average"), "terms")
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
