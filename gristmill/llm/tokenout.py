@@ -8,7 +8,8 @@ stride in slot order: slot s is in shard s div per_shard at byte (s mod per_shar
 
 A record is the number of ids (4 bytes), whether doc_id is NULL (1), doc_id (8), piece (4), LENGTH ids of 2 bytes (the vocabulary has
 fewer than 65,536), little-endian, zeros at the end, and the line end that Spark's text writer adds. That writer reaches every store that Spark does, and its committer
-makes the shards whole or absent; a shard that a lost executor was writing is written again, with the same bytes.
+makes a shard whole or absent; one that a lost executor was writing is written again, with the same bytes. Shards are written in WAVES ranges one after the other, so that only
+a part of the sequences is in shuffle files at a time; the file ``_COMPLETE`` comes last.
 
 A NULL or empty text is the end id alone. NULL and repeated doc_ids are kept; rows alike in doc_id and text are counted before the shuffle and get
 neighbouring numbers. An empty table gives no sequences and no shards. Other columns are ignored. A very long text is many sequences, spread over shards like any others.
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import feistel, tokens
-from .common import discard, durable, shared_folder, slices
+from .common import cleaned_up, discard, durable, shared_folder, slices
 
-LENGTH, PER_SHARD, BUCKETS, KEY = 512, 4096, 4096, "training order"
-HEAD = "<I?qI"
+LENGTH, PER_SHARD, BUCKETS, WAVES, KEY = 512, 4096, 4096, 3, "training order"
+HEAD, COMPLETE = "<I?qI", "_COMPLETE"
 SEQUENCES = "doc_id long, piece int, n int, slot long, shard long, byte_offset long, ids_crc32 long"
 
 
@@ -100,22 +101,36 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, k
 
 def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, path: str | None = None) -> int:
     """Writes the shards below ``folder``, which must not exist, a file in each ``shard=N``; how many sequences."""
+    if _path(docs.sparkSession, folder).getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).exists(_path(docs.sparkSession, folder)):
+        raise FileExistsError(folder)
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             made = [record(d, p, i, length) for d, p, i in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(4)], ["record", "shard"])
 
+    spark = docs.sparkSession
     rows, kept, total = slotted(docs, length, per_shard, key, path)
     shards = -(-total // per_shard)
     # Neighbouring shards go to one task, as many to each; their numbers are known, so nothing is sampled for the ranges.
-    tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = rows.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("shard", "slot")
-    ranged.mapInArrow(packed, "record binary, shard long").select(F.col("record").cast("string"), "shard").write.partitionBy("shard").text(folder)
+    tasks = max(1, min(-(-shards // WAVES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    for wave in range(WAVES):
+        first, last = shards * wave // WAVES, shards * (wave + 1) // WAVES
+        if first == last:
+            continue
+        own = rows.where((F.col("shard") >= first) & (F.col("shard") < last))
+        ranged = own.repartitionById(tasks, F.expr(f"cast((shard - {first}) * {tasks} div {last - first} as int)")).sortWithinPartitions("shard", "slot")
+        with cleaned_up(spark):
+            ranged.mapInArrow(packed, "record binary, shard long").select(F.col("record").cast("string"), "shard").write.mode("append").partitionBy("shard").text(folder)
     discard(kept)
+    _path(spark, folder).getFileSystem(spark._jsc.hadoopConfiguration()).create(_path(spark, f"{folder}/{COMPLETE}")).close()
     return total
 
 
+def _path(spark: SparkSession, name: str):  # noqa: ANN202
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
 def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """doc_id, piece, n, slot, shard, byte_offset, ids_crc32 (of the ids as unsigned 32 bit numbers) of each record of the files in ``folder``."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n", pa.int32()), ("slot", pa.int64()), ("shard", pa.int64()), ("byte_offset", pa.int64()), ("ids_crc32", pa.int64())])
@@ -146,8 +161,10 @@ def sequences(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD,
 
 def read_from(spark: SparkSession, folder: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD, records: int = 256) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """doc_id, piece and ids of the sequences from ``slot`` on: each shard's file is opened at the record's byte and read on, ``records`` at a time, without a Spark job."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
+    path = lambda name: _path(spark, name)
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(f"{folder}/{COMPLETE}")):
+        raise FileNotFoundError(f"{folder} is not complete")
     shard, step = slot // per_shard, stride(length)
     at = slot % per_shard * step
     while files.exists(path(f"{folder}/shard={shard}")):
