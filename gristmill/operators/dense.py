@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc"
     """(query_id, rank, doc, score) of the ``k`` largest inner products of each query.
 
     Queries go out in blocks of a bounded size; each task multiplies its rows by a block and sends on its own best ``k``, so a query costs k rows a batch.
+    Vectors that are not finite numbers, as many as the first query has, are no hits, and queries like that have none.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -33,9 +35,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc"
     rows = vectors.select(F.col(doc).alias("doc"), F.col(vector).alias("vector")).where("vector is not null")
     doc_kind = rows.schema["doc"].dataType.simpleString()
     found: DataFrame | None = None
+    size: int | None = None
     waiting = asked.toLocalIterator()
     while part := [r for _, r in zip(range(block), waiting, strict=False)]:
-        known = spark.sparkContext.broadcast(([r.query_id for r in part], np.array([r.vector for r in part], np.float64)))
+        size = len(part[0].vector) if size is None else size
+        part = [r for r in part if len(r.vector) == size and np.isfinite(np.array(r.vector, np.float64)).all()]
+        if not part or not size:
+            continue
+        matrix = np.array([r.vector for r in part], np.float64)
+        known = spark.sparkContext.broadcast(([r.query_id for r in part], matrix))
         best = rows.mapInArrow(_block_search(known, k), f"query_id {kind}, doc {doc_kind}, score double")
         found = best if found is None else found.unionAll(best)
     if found is None:
@@ -48,12 +56,15 @@ def _block_search(known: Broadcast, k: int) -> Callable[[Iterable[pa.RecordBatch
         ids, matrix = known.value
         names = pa.array(ids)
         for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), matrix.shape[1]))
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            fine = np.isfinite(rows).all(axis=1)
+            batch, rows = batch.filter(pa.array(fine)), rows[fine]
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             doc = batch.column(0)
             tie = np.argsort(np.argsort(np.array(doc.to_pylist()), kind="stable"), kind="stable")
-            score = matrix @ flat.reshape(batch.num_rows, -1).T
+            score = matrix @ rows.T
             near = np.round(score, 9)
             take = [np.lexsort((tie, -line))[:k] if batch.num_rows > k else np.arange(batch.num_rows) for line in near]
             of = np.repeat(np.arange(len(take)), [len(t) for t in take])

@@ -26,22 +26,23 @@ def option_scores(tokens: DataFrame, by_length: bool = False) -> DataFrame:
     return tokens.groupBy("item", "option").agg(score.alias("score"), F.count("*").alias("tokens"))
 
 
-def choice_items(options: DataFrame) -> DataFrame:
-    """(item, correct_prob, right): probability of the correct option among an item's, and whether the first of the best is it.
+def choice_items(options: DataFrame, by_length: bool = False) -> DataFrame:
+    """(item, correct_prob, right, answer): probability of the correct option among an item's, whether the first of the best is it, and its log probability a token.
 
-    Options are (item, option, score, correct); an item's options are few and meet by key.
+    Options are (item, option, score, tokens, correct) with scores as ``option_scores`` makes them, by length or not; an item's options are few and meet by key.
     """
     of = Window.partitionBy("item")
     weighed = options.withColumn("_w", F.exp(F.col("score") - F.max("score").over(of)))
     return weighed.groupBy("item").agg(
         (F.sum(F.when(F.col("option") == F.col("correct"), F.col("_w"))) / F.sum("_w")).alias("correct_prob"),
         (F.min(F.struct((-F.col("score")).alias("s"), F.col("option").alias("o")))["o"] == F.first("correct")).alias("right"),
+        F.sum(F.when(F.col("option") == F.col("correct"), F.col("score") if by_length else F.col("score") / F.col("tokens"))).alias("answer"),
     )
 
 
-def choice_metrics(options: DataFrame) -> DataFrame:
-    """One row: items, mean probability of the correct option, accuracy."""
-    return choice_items(options).agg(F.count("*").alias("items"), F.avg("correct_prob").alias("mean_prob"), F.avg(F.col("right").cast("double")).alias("accuracy"))
+def choice_metrics(options: DataFrame, by_length: bool = False) -> DataFrame:
+    """One row: items, mean probability of the correct option, accuracy, mean log probability of its tokens."""
+    return choice_items(options, by_length).agg(F.count("*").alias("items"), F.avg("correct_prob").alias("mean_prob"), F.avg(F.col("right").cast("double")).alias("accuracy"), F.avg("answer").alias("answer_log_prob"))
 
 
 def bytes_per_token(texts: DataFrame, text: str = "text", tokens: str = "tokens") -> DataFrame:

@@ -260,7 +260,7 @@ def option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = _options(spark, sf_dir).withColumn("score", F.round("score", 6)).withColumn("correct", F.lit(1))
     row = evaluation.choice_metrics(options)
-    return row.select("items", F.round("mean_prob", 6).alias("mean_prob"), F.round("accuracy", 9).alias("accuracy"))
+    return row.select("items", F.round("mean_prob", 6).alias("mean_prob"), F.round("accuracy", 9).alias("accuracy"), F.round("answer_log_prob", 6).alias("answer_log_prob"))
 
 
 def bytes_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,10 +402,10 @@ SELECT a.seq, count(*) AS pairs, CAST(sum(b.pos) AS BIGINT) AS sum_j FROM n a JO
     "loss_mean": "SELECT count(*) AS tokens, round(sum(l_quantity / 10), 4) AS total, round(sum(l_quantity / 10) / count(*), 9) AS mean FROM lineitem WHERE l_linenumber <> 3",
     "cross_entropy": "WITH s AS (SELECT l_orderkey AS token, ln(sum(exp(l_quantity / 10))) AS z, max(l_quantity / 10) FILTER (l_linenumber = 1) AS own FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) SELECT token, round(z - own, 6) AS loss, round(z * z, 6) AS z FROM s",
     "option_scores": "SELECT l_orderkey AS item, l_linenumber % 3 AS option, round(sum(-l_quantity / 10), 6) AS score, count(*) AS tokens FROM lineitem GROUP BY 1, 2",
-    "choice_metrics": """WITH o AS (SELECT l_orderkey AS item, l_linenumber % 3 AS option, round(sum(-l_quantity / 10), 6) AS score FROM lineitem GROUP BY 1, 2),
+    "choice_metrics": """WITH o AS (SELECT l_orderkey AS item, l_linenumber % 3 AS option, round(sum(-l_quantity / 10), 6) AS score, count(*) AS tokens FROM lineitem GROUP BY 1, 2),
 w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item)) AS w, row_number() OVER (PARTITION BY item ORDER BY score DESC, option) AS r FROM o),
-i AS (SELECT item, sum(w) FILTER (option = 1) / sum(w) AS p, max(CASE WHEN r = 1 AND option = 1 THEN 1 ELSE 0 END) AS ok FROM w GROUP BY item)
-SELECT count(*) AS items, round(avg(p), 6) AS mean_prob, round(avg(ok), 9) AS accuracy FROM i""",
+i AS (SELECT item, sum(w) FILTER (option = 1) / sum(w) AS p, max(CASE WHEN r = 1 AND option = 1 THEN 1 ELSE 0 END) AS ok, sum(score / tokens) FILTER (option = 1) AS a FROM w GROUP BY item)
+SELECT count(*) AS items, round(avg(p), 6) AS mean_prob, round(avg(ok), 9) AS accuracy, round(avg(a), 6) AS answer_log_prob FROM i""",
     "bytes_per_token": "SELECT round(sum(strlen(text)) / sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))), 6) AS bytes_per_token FROM documents",
     "window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "user_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM n GROUP BY user_id, s",

@@ -120,3 +120,22 @@ def test_stream_of_events_counts_as_the_table(spark, tmp_path):
         incremental.grow(source, str(tmp_path / "out"), lambda batch: batch.select("event_id", "user_id")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "chunk=*"))
     assert got.count() == events.count() == got.select("event_id").distinct().count()
+
+
+def test_dense_search_passes_over_broken_vectors(spark):
+    from gristmill.operators import dense
+
+    nan = float("nan")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, [None, 1.0]), (4, [nan, 1.0]), (5, None), (6, [0.0, 3.0]), (7, [])], "doc long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0]), (3, [nan, 0.0]), (4, None), (5, [None, 1.0])], "query_id long, vector array<double>").coalesce(1)
+    assert [tuple(r) for r in dense.search(vectors, queries, 5).sort("rank").collect()] == [(1, 1, 6, 3.0), (1, 2, 1, 1.0)]
+    assert dense.search(vectors, queries.where("query_id = 4"), 5).count() == 0
+
+
+def test_choice_metrics_by_length(spark):
+    from gristmill.operators import evaluation
+
+    options = spark.createDataFrame([(1, 0, -2.0, 2, 0), (1, 1, -3.0, 1, 0), (2, 0, -1.0, 4, 1), (2, 1, -1.0, 2, 1)], "item int, option int, score double, tokens int, correct int")
+    for by_length, want in ((False, -0.75), (True, -1.5)):
+        row = evaluation.choice_metrics(options, by_length).head()
+        assert (row["items"], row.accuracy, row.answer_log_prob) == (2, 0.5, want)
