@@ -37,6 +37,8 @@ from . import anchors
 from .common import durable, slices, text_column, utf8
 
 LENGTH, HOT, HELD, BLOCK = anchors.LENGTH, 1000, 400_000, 20_000
+#: What a worker gathers before it sends it on: bytes and rows of contents, and runs compared at once (or one group).
+SENT_BYTES, SENT_ROWS, PIECE = 4 << 20, 50_000, 5_000
 FIRST_ID = -(1 << 63)
 OTHER_NAME = 0x5DEECE66D5DEECE6
 #: A document: its doc_id, and two hashes of its text where a doc_id has several texts (else 0).
@@ -218,39 +220,56 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _content(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes of the wanted runs (g, their document, loc); those of hot anchors window by window, one row for each content here. Spans asked for by
-    other documents come with theirs and no g."""
+    """The bytes of the wanted runs (g, their document, loc); those of hot anchors window by window, one row for each content in what is sent at once. Spans asked
+    for by other documents come with theirs and no g. However many ask for one document, SENT_BYTES and SENT_ROWS bound what is held, but for the last run."""
     schema = pa.schema([(c, pa.int64()) for c in ("g", *KEY, "loc")] + [("bytes", pa.binary())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int | None, int, int, int, int, bytes]] = []
+        hot: dict[bytes, tuple[int, int, int, int]] = {}
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            nonlocal size
+            out.extend((_key(w), *place, w) for w, place in hot.items())
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(schema.types)], schema=schema)
+            out.clear()
+            hot.clear()
+            size = 0
+            return batch
+
         for batch in slices(batches, 3):
-            out: list[tuple[int | None, int, int, int, int, bytes]] = []
-            hot: dict[bytes, tuple[int, int, int, int]] = {}
-            for d, t, u, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), utf8(batch.column(3)), batch.column(4).to_pylist(), strict=True):
-                for run in runs:
-                    at, n = run["at"], run["n"]
-                    if run["m"] is None:
-                        out.append((None, run["d"], run["t"], run["u"], run["start"], text[at : at + n + length - 1]))
-                        continue
-                    if not run["hot"]:
-                        out.append((run["m"], d, t, u, at << 7 | n, text[at : at + n + length - 1]))
-                        continue
-                    later: list[int] = []  # windows of this run that have been met, as [first, count, ...]
-                    for p in range(at, at + n):
-                        window, place = text[p : p + length], (d, t, u, p << 7 | 1)
-                        if (kept := hot.get(window)) is None or place < kept:
-                            if kept is not None:
-                                out.append((0, *kept, b""))
-                            hot[window] = place
-                        elif place != kept:
-                            if later and later[-2] + later[-1] == p:
-                                later[-1] += 1
-                            else:
-                                later += [p, 1]
-                    out += [(0, d, t, u, p << 7 | c, b"") for p, c in zip(later[::2], later[1::2], strict=True)]
-            out += [(_key(w), *place, w) for w, place in hot.items()]
-            columns = zip(*out, strict=True) if out else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            fields = dict(zip([f.name for f in batch.column(4).type.value_type], batch.column(4).values.flatten(), strict=True))
+            names = ["m", "at", "n", "hot", *KEY, "start"]
+            offsets = batch.column(4).offsets.to_pylist()
+            for d, t, u, text, low, high in zip(*(batch.column(k).to_pylist() for k in range(3)), utf8(batch.column(3)), offsets, offsets[1:], strict=False):
+                for first in range(low, high, 4096):
+                    some = min(4096, high - first)
+                    for m, at, n, is_hot, rd, rt, ru, start in zip(*(fields[c].slice(first, some).to_pylist() for c in names), strict=True):
+                        if size >= SENT_BYTES or len(out) + len(hot) >= SENT_ROWS:
+                            yield sent()
+                        if m is None:
+                            out.append((None, rd, rt, ru, start, text[at : at + n + length - 1]))
+                            size += n + length - 1
+                            continue
+                        if not is_hot:
+                            out.append((m, d, t, u, at << 7 | n, text[at : at + n + length - 1]))
+                            size += n + length - 1
+                            continue
+                        later: list[int] = []  # windows of this run that have been met, as [first, count, ...]
+                        for p in range(at, at + n):
+                            window, place = text[p : p + length], (d, t, u, p << 7 | 1)
+                            if (kept := hot.get(window)) is None or place < kept:
+                                if kept is not None:
+                                    out.append((0, *kept, b""))
+                                hot[window] = place
+                            elif place != kept:
+                                if later and later[-2] + later[-1] == p:
+                                    later[-1] += 1
+                                else:
+                                    later += [p, 1]
+                        out += [(0, d, t, u, p << 7 | c, b"") for p, c in zip(later[::2], later[1::2], strict=True)]
+        yield sent()
 
     return scan
 
@@ -301,6 +320,15 @@ def _compared(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
         found = joined([k[of] for k in key], (loc[of] >> 7) + inside, np.ones(len(of), np.int64))
         return _ranges(found), order[np.bincount(of, minlength=len(n)) < n]
 
+    def pieces(table: pa.Table) -> Iterator[pa.Table]:
+        """Groups that belong together, PIECE rows at most unless one group has more: each is put in suffix order of its own."""
+        g, low = table.column(0).to_numpy(), 0
+        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+        while low < len(g):
+            high = int(ends[max(np.searchsorted(ends, low + PIECE, side="right") - 1, np.searchsorted(ends, low, side="right"))])
+            yield table.slice(low, high - low)
+            low = high
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         held = 0
@@ -320,15 +348,16 @@ def _compared(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                 g = table.column(0).to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
                 if cut:
-                    yield settle(table.slice(0, cut))[0]
+                    for piece in pieces(table.slice(0, cut)):
+                        yield settle(piece)[0]
                     table = table.slice(cut)
                 elif held >= 4 * BLOCK:  # one window of a hot anchor: its first copy stands for all so far
                     found, kept = settle(table)
                     yield found
                     table = table.take(pa.array(np.sort(kept)))
                 waiting, held = table.to_batches(), table.num_rows
-        if waiting:
-            yield settle(pa.Table.from_batches(waiting))[0]
+        for piece in pieces(pa.Table.from_batches(waiting)) if waiting else ():
+            yield settle(piece)[0]
 
     return scan
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -104,6 +105,25 @@ def test_suffix_dedup_of_nothing(empty, spark):
         suffix_dedup.digest(empty, 10)
 
 
+def test_contents_are_sent_in_bounded_batches():
+    """One document that many others ask for, and many windows of hot anchors: no batch holds them all."""
+    text = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(200))
+    run = pa.struct([("m", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), *((c, pa.int64()) for c in ("d", "t", "u", "start"))])
+    asks = [{"m": None, "at": 0, "n": len(text) - 99, "hot": False, "d": i, "t": 0, "u": 0, "start": 0} for i in range(2000)]
+    warm = [{"m": 5, "at": at, "n": 64, "hot": True, "d": 0, "t": 0, "u": 0, "start": 0} for at in range(0, len(text) - 163, 64)]
+    docs = [(7, text, asks)] + [(100 + i, str(i) + text[i:][::-1], warm[:-1]) for i in range(30)] + [(200 + i, str(i) + text[i:][::-1], warm[:-2]) for i in range(20)] + [(8, "x", [])]
+    columns = [pa.array([d for d, _, _ in docs]), *(pa.array([0] * len(docs), pa.int64()),) * 2, pa.array([t for _, t, _ in docs]), pa.array([r for _, _, r in docs], pa.list_(run))]
+    got = list(suffix_dedup._content(100)([pa.RecordBatch.from_arrays(columns, ["d", "t", "u", "text", "runs"])]))
+    assert max(b.num_rows for b in got) < suffix_dedup.SENT_ROWS + 1000 and max(b.nbytes for b in got) < 4 * suffix_dedup.SENT_BYTES
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["d"], r["bytes"]) for r in rows if r["g"] is None] == [(i, text.encode()) for i in range(2000)]
+    # Each hot window is there once: by itself, or in a range that another window with its bytes stands for.
+    held = Counter((r["d"], p) for r in rows if r["g"] is not None for p in range(r["loc"] >> 7, (r["loc"] >> 7) + (r["loc"] & 127)))
+    assert held == Counter((d, p) for d, _, runs in docs[1:] for r in runs for p in range(r["at"], r["at"] + r["n"]))
+    whole = {d: t.encode() for d, t, _ in docs}
+    assert all(whole[r["d"]][r["loc"] >> 7 :][:100] == r["bytes"] for r in rows if r["g"] is not None and r["bytes"])
+
+
 def test_longest_previous_factor():
     for data in (b"", b"a", b"banana", b"abababab", b"mississippi" * 3, bytes(range(50)) * 2):
         want = [max((next((k for k in range(len(data) - i) if data[i + k] != data[j + k]), len(data) - i) for j in range(i)), default=0) for i in range(len(data))]
