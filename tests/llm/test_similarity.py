@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -43,6 +45,37 @@ def test_near_copies_against_all_pairs(spark, small, slots):
     assert simhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("members", [150, 300])
+def test_a_group_of_near_copies_is_not_paired_off(spark, monkeypatch, members):
+    """Texts with one to three changed words are one class, but few are similar to any given one: the pairs verified grow with the texts, not with their square."""
+    rng, verify, looked_at = random.Random(3), similarity.verified, []
+    rows = []
+    for i in range(members):
+        words = [f"w{k}" for k in range(150)]
+        for at in rng.sample(range(5, 145), 1 + i % 3):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words), None, None, 0, i, i, 0.0))
+
+    def counted(pairs, texts):
+        looked_at.append(pairs.distinct().count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(similarity, "verified", counted)
+    got = simhash.near_dedup(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {(r.doc_id, r.text) for r in got.collect()} == brute_kept([r[:2] for r in rows])
+    assert 0 < sum(looked_at) < 12 * members, looked_at
+
+
+def test_sketches_rule_out_only_what_is_not_similar():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 400, 5000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 1 << 63, int(n * rng.random() * 0.2), dtype=np.uint64)]))
+            apart = int(np.bitwise_count(np.frombuffer(similarity.sketch(a), np.uint64) ^ np.frombuffer(similarity.sketch(b), np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and (9 * apart <= len(a) + len(b) or not similarity.similar(a, b))
+
+
 def test_no_near_copy_is_left_after_the_stages(spark):
     small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
