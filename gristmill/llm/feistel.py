@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from math import isqrt
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,25 @@ def permute(x: int, n: int, key: str) -> int:
             return x
 
 
+def permute_array(x: np.ndarray, n: int, key: str) -> np.ndarray:
+    """``permute`` over an array of int64; all products are below 2^62."""
+    (a, b), keys = grid(n), round_keys(key)
+    out = np.array(x, np.int64)
+    left = np.arange(len(out))  # those that are not inside yet
+    while len(left):
+        u, v = out[left] // b, out[left] % b
+        for r, (m, c) in enumerate(keys):
+            y = ((v if r % 2 == 0 else u) % PRIME * m + c) % PRIME
+            y = (y * y % PRIME * m + c) % PRIME
+            if r % 2 == 0:
+                u = (u + y) % a
+            else:
+                v = (v + y) % b
+        out[left] = u * b + v
+        left = left[out[left] >= n]
+    return out
+
+
 def permute_column(x: Column, n: int, key: str) -> Column:
     """``permute`` over a BIGINT column, JVM-side. The rounds are a fold, so the expression stays small."""
     a, b = (F.lit(v).cast("long") for v in grid(n))

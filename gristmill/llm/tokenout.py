@@ -95,7 +95,13 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, k
     starts = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     number = F.col("start") + F.col("rank") + F.col("i")
     each = kept.join(F.broadcast(starts), "bucket").withColumn("i", F.explode(F.expr("sequence(0L, alike - 1)")))
-    placed = each.withColumn("slot", feistel.permute_column(number, total, key)).withColumn("shard", F.expr(f"slot div {per_shard}L"))
+
+    # Only the numbers go to Python. Said to be nondeterministic so that it is worked out once a row, not again in each filter on the shard.
+    @F.arrow_udf("long")
+    def slots(numbers: pa.Array) -> pa.Array:
+        return pa.array(feistel.permute_array(numbers.to_numpy(zero_copy_only=False), total, key))
+
+    placed = each.withColumn("slot", slots.asNondeterministic()(number)).withColumn("shard", F.expr(f"slot div {per_shard}L"))
     return placed.select("doc_id", "piece", "ids", "slot", "shard"), kept, total
 
 

@@ -339,6 +339,17 @@ def test_slots_follow_the_order_of_contents(spark, docs):
     assert sorted((*a[1:], str(a[0]), r.slot) for a, r in zip(alike, ranked, strict=True)) == sorted((*a[1:], str(a[0]), feistel.permute(i, total, tokenout.KEY)) for i, a in enumerate(alike))
 
 
+def test_slots_are_worked_out_once_a_row(spark, docs):
+    """A filter on the shard, as each wave has it, doesn't work the permutation out again, nor fold it step by step."""
+    rows, _, total = tokenout.slotted(docs, 64, 10)
+    wave = rows.where("shard >= 1 and shard < 3").select("ids", "slot", "shard")
+    plan = wave._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+    assert Counter(r.shard for r in wave.collect()) == {1: 10, 2: 10}
+    for n in (1, 2, 7, 1000, total):
+        assert feistel.permute_array(np.arange(n), n, "k").tolist() == [feistel.permute(i, n, "k") for i in range(n)]
+
+
 def test_language_needs_a_letter():
     model = langid.fit(["alpha beta gamma delta " * 9, "uno dos tres cuatro " * 9], ["en", "es"])
     assert [p[0] for p in model.predict([None, "", "½ ² 12_3", "Ⅷ ½", "uno"])] == ["und", "und", "und", "und", "es"]
