@@ -345,7 +345,7 @@ def wikitext_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 merges over all texts."""
-    merges, _ = vocabulary.train(vocabulary.piece_counts(_read(spark, sf_dir, "documents")), 256 + 100 + 15, 15)
+    merges, _ = vocabulary.train_spread(vocabulary.piece_counts(_read(spark, sf_dir, "documents")), 256 + 100 + 15, 15)
     return spark.createDataFrame([(k, a.hex(), b.hex()) for k, (a, b) in enumerate(merges)], "n long, first string, second string")
 
 
