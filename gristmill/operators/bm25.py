@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts
 from ..functions.text import tokenize, tokens, tokens_exact
 
 K1, B, MOST_TF = 0.9, 0.4, 65535
@@ -58,7 +59,8 @@ def counted(passages: DataFrame, doc: str = "doc", text: str = "text", title: st
     read = passages.select(F.col(doc).alias("doc"), whole.alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Terms and counts as Python objects take far more room than the texts, so few texts are counted at a time.
+        for batch in parts(batches, 1):
             found = [Counter(tokenize(t)) for t in batch.column(1).to_pylist()]
             columns = [pa.array([c.total() for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "len", "terms", "counts"])
