@@ -24,7 +24,7 @@ def sound(vector: Column, size: int) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc", vector: str = "vector", query: str = "query_id", query_vector: str = "vector", block: int = 1024) -> DataFrame:
     """(query_id, rank, doc, score) of the ``k`` largest inner products of each query.
 
-    Queries go out in blocks of a bounded size; each task multiplies its rows by a block and sends on its own best ``k``, so a query costs k rows a batch.
+    Queries go out in blocks of a bounded size; each task multiplies its rows by a block, some rows at a time, and sends on its own best ``k``, so a query costs k rows a task.
     Vectors that are not finite numbers, as many as the first query has, are no hits, and queries like that have none.
     """
     if k < 1:
@@ -51,29 +51,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc"
     return ranked_all(found, k).select("query_id", "rank", "doc", "score")
 
 
+#: Scores that a task holds at once.
+CELLS = 1 << 20
+
+
 def _block_search(known: Broadcast, k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = known.value
-        names = pa.array(ids)
-        for batch in batches:
-            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), matrix.shape[1]))
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+        bar = np.full(len(ids), -np.inf)  # of each query, what its k-th best has
+        of, score, doc = np.empty(0, np.int64), np.empty(0), None
+        for part in _slices(batches, max(1, CELLS // len(ids))):
+            part = part.filter(pc.equal(pc.list_value_length(part.column(1)), matrix.shape[1]))
+            rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
             fine = np.isfinite(rows).all(axis=1)
-            batch, rows = batch.filter(pa.array(fine)), rows[fine]
-            if not batch.num_rows:
+            part, rows = part.filter(pa.array(fine)), rows[fine]
+            found = matrix @ rows.T
+            hit = np.round(found, 9) >= bar[:, None]
+            if not hit.any():
                 continue
-            doc = batch.column(0)
-            tie = np.argsort(np.argsort(np.array(doc.to_pylist()), kind="stable"), kind="stable")
-            score = matrix @ rows.T
-            near = np.round(score, 9)
-            take = [np.lexsort((tie, -line))[:k] if batch.num_rows > k else np.arange(batch.num_rows) for line in near]
-            of = np.repeat(np.arange(len(take)), [len(t) for t in take])
+            tie, lines = _places(part.column(0)), np.flatnonzero(hit.any(axis=1))
+            take = [_best(np.flatnonzero(hit[q]), found[q], tie, k) for q in lines]
             at = np.concatenate(take)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), doc.take(pa.array(at)), pa.array(score[of, at])], ["query_id", "doc", "score"])
+            new = np.repeat(lines, [len(t) for t in take])
+            of, score = np.concatenate((of, new)), np.concatenate((score, found[new, at]))
+            doc = part.column(0).take(pa.array(at)) if doc is None else pa.concat_arrays([doc, part.column(0).take(pa.array(at))])
+            # The k best of each query stay, in order.
+            near = np.round(score, 9)
+            order = np.lexsort((_places(doc), -near, of))
+            line = of[order]
+            place = np.arange(len(order)) - np.searchsorted(line, line)
+            last = order[place == k - 1]
+            bar[of[last]] = near[last]
+            order = order[place < k]
+            of, score, doc = of[order], score[order], doc.take(pa.array(order))
+        for at in range(0, len(of), 10_000):
+            some = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(of[some])), doc.slice(at, 10_000), pa.array(score[some])], ["query_id", "doc", "score"])
 
     return scan
 
 
+def _slices(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, most) for batch in batches for at in range(0, batch.num_rows, most))
+
+
+def _places(doc: pa.Array) -> np.ndarray:
+    """Where each would stand in order, NULL first as in Spark."""
+    place = np.empty(len(doc), np.int64)
+    place[pc.array_sort_indices(doc, null_placement="at_start").to_numpy()] = np.arange(len(doc))
+    return place
+
+
+def _best(at: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    return at if len(at) <= k else at[np.lexsort((tie[at], -np.round(score[at], 9)))[:k]]
+
+
 def ranked_all(scores: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query, for scores of any sign; nine digits are compared, then doc."""
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc").asc())
