@@ -8,7 +8,7 @@ from gristmill.plans import registry
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bm25_saved_topk", "bm25_topk", "document_frequencies", "corpus_stats", "bm25_postings"])
+@pytest.mark.parametrize("name", ["bm25_saved_topk", "bm25_topk", "document_frequencies", "corpus_stats", "bm25_postings", "newest_hit"])
 def test_workers_count_few_texts_at_a_time(spark, monkeypatch, name):
     """What the query gives to the workers cuts a batch of 4 MB before it counts the terms."""
     frame, steps = type(spark.range(1)), []
